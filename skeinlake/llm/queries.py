@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlake.llm import canonical, conversations
+from skeinlake.llm import bpe, canonical, conversations
 from skeinlake.session import table
 
 
@@ -24,6 +24,10 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
     return canonical.collapse_copies(table(spark, d, "event_rows"), "row_no", "text", ["session_uuid"])
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p7_counts)}
+def p8_ids(spark: SparkSession, d: str) -> DataFrame:
+    return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p7_counts, p8_ids)}
 
 SQL: dict[str, str] = {}
