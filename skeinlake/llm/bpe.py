@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, types as T
 
@@ -141,7 +142,7 @@ class BlockEncoder:
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, list[str | None]]]:
     """Pieces of the batches with about two million characters of text each."""
     for batch in batches:
-        sizes = np.cumsum(pa.compute.utf8_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
+        sizes = np.cumsum(pc.utf8_length(batch.column(1)).fill_null(0).to_numpy(zero_copy_only=False))
         at = 0
         while at < batch.num_rows:
             base = sizes[at - 1] if at else 0
