@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlake.llm import bpe, canonical, conversations
-from skeinlake.session import table
+from skeinlake.llm import bpe, canonical, conversations, mixing
+from skeinlake.session import materialize, table
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
@@ -28,6 +28,19 @@ def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p7_counts, p8_ids)}
+def _sized(spark: SparkSession, d: str) -> DataFrame:
+    documents = table(spark, d, "documents")
+    return mixing.documents_with_sizes(documents, bpe.token_counts(documents, "doc_id", "text"))
+
+
+def p9_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_report(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
+def p9_sample(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(materialize(_sized(spark, d), "sized"), table(spark, d, "mix_targets"))
+
+
+QUERIES = {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix)}
 
 SQL: dict[str, str] = {}
