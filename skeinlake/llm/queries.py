@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlake.llm import bpe, canonical, conversations, mixing
+from skeinlake.llm import bpe, canonical, conversations, mixing, spans
 from skeinlake.session import materialize, table
 
 
@@ -41,6 +41,17 @@ def p9_sample(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(materialize(_sized(spark, d), "sized"), table(spark, d, "mix_targets"))
 
 
-QUERIES = {f.__name__: f for f in (p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix)}
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_pairs(table(spark, d, "documents"), "doc_id", "text")
+
+
+def p10_shared(spark: SparkSession, d: str) -> DataFrame:
+    return spans.shared_amounts(table(spark, d, "documents"), "doc_id", "text")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix, p10_found, p10_shared)
+}
 
 SQL: dict[str, str] = {}
