@@ -4,10 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlake.llm import bpe, canonical, conversations, mixing, spans
+from skeinlake.llm import bpe, canonical, conversations, langid, mixing, spans
 from skeinlake.session import materialize, table
 
 
+def _segments(spark: SparkSession, d: str) -> DataFrame:
+    documents, rows = langid.inputs(*(table(spark, d, t) for t in ("documents", "event_rows", "lang_labels")))
+    return langid.label_segments(documents.unionByName(rows), langid.fit_sample([documents, rows]))
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.wrongly_labelled(materialize(_segments(spark, d), "segments"))
+
+
+def p3_segments(spark: SparkSession, d: str) -> DataFrame:
+    return _segments(spark, d).drop("label")
+
+
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return conversations.found_broken(table(spark, d, "event_rows"))
 
@@ -51,7 +64,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix, p10_found, p10_shared)
+    for f in (p3_found, p3_segments, p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix, p10_found, p10_shared)
 }
 
 SQL: dict[str, str] = {}
