@@ -4,10 +4,22 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from skeinlake.llm import bpe, canonical, conversations, langid, mixing, spans
+from skeinlake.llm import bpe, canonical, conversations, langid, mixing, personal, spans
 from skeinlake.session import materialize, table
 
 
+def _personal(spark: SparkSession, d: str) -> DataFrame:
+    return personal.extract(table(spark, d, "event_rows"), table(spark, d, "channel_users"))
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return personal.distinct_values(_personal(spark, d))
+
+
+def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return personal.redact(table(spark, d, "event_rows"), materialize(_personal(spark, d), "personal"))
+
+
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     documents, rows = langid.inputs(*(table(spark, d, t) for t in ("documents", "event_rows", "lang_labels")))
     return langid.label_segments(documents.unionByName(rows), langid.fit_sample([documents, rows]))
@@ -64,7 +76,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p3_found, p3_segments, p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix, p10_found, p10_shared)
+    for f in (p2_found, p2_redacted, p3_found, p3_segments, p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix, p10_found, p10_shared)
 }
 
 SQL: dict[str, str] = {}
