@@ -59,8 +59,10 @@ class Scope:
         parts += [c("cwd").contains(self.path)] * (self.path is not None)
         parts += [c("dir").startswith(self.dir)] * (self.dir is not None)
         parts += [c("role").isin("user", "assistant")] * self.prose
-        parts += [c("ts") >= to_iso(self.since)] * (self.since is not None)
-        parts += [c("ts") <= to_iso(self.until, True)] * (self.until is not None)
+        if self.since is not None:
+            parts.append(c("ts") >= to_iso(self.since))
+        if self.until is not None:
+            parts.append(c("ts") <= to_iso(self.until, True))
         parts += [F.lower(c(k)).contains(getattr(self, k).lower()) for k in ("via", "chat_id", "from_user") if getattr(self, k) is not None]
         parts += [c("session_uuid") == self.session] * (self.session is not None)
         return reduce(lambda a, b: a & b, parts)

@@ -179,7 +179,7 @@ def exchanges(turns: DataFrame, keys: list[str], order: str, tail: int = 0) -> D
     breaks = human | ((F.col("role") == "user") & is_inbound_turn(text))
     running = W.partitionBy(*keys).orderBy(order).rowsBetween(W.unboundedPreceding, 0)
     numbered = turns.withColumns({"_human": human, "exchange": F.sum(breaks.cast("long")).over(running)})
-    agent = (F.col("role") == "assistant") & (F.trim("text") != "")
+    agent = (F.col("role") == "assistant") & text.rlike(r"[^\s\p{Z}]")
     paired = numbered.groupBy(*keys, "exchange").agg(
         F.min_by(F.when(F.col("_human"), text), F.when(F.col("_human"), F.col(order))).alias("asked"),
         F.max_by(F.when(agent, text), F.when(agent, F.col(order))).alias("answered"),

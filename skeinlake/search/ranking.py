@@ -45,6 +45,10 @@ def bm25_part(tf: Column, df: Column, n: Column, dl: Column, avgdl: Column) -> C
     return idf * tf * (K1 + 1) / (tf + K1 * (F.lit(1 - B) + B * dl / avgdl))
 
 
+def _times(listed: str, word: str) -> Column:
+    return F.size(F.filter(listed, lambda t: t == word))
+
+
 def bm25(docs: DataFrame, id_column: str, text: str, query: str, scope: list[str] = []) -> DataFrame:  # noqa: B006
     """scope, id, score of every row with any word of the query; more words widen.
     Statistics are those of the whole table, or of each scope.
@@ -55,7 +59,7 @@ def bm25(docs: DataFrame, id_column: str, text: str, query: str, scope: list[str
     if not words:
         return docs.select(*scope, id_column, F.lit(0.0).alias("score")).limit(0)
     listed = docs.select(*scope, id_column, tokens(F.col(text)).alias("_t"))
-    counted = listed.select(*scope, id_column, F.size("_t").alias("_dl"), *[F.size(F.filter("_t", lambda t, w=w: t == w)).alias(f"_tf{i}") for i, w in enumerate(words)])
+    counted = listed.select(*scope, id_column, F.size("_t").alias("_dl"), *[_times("_t", w).alias(f"_tf{i}") for i, w in enumerate(words)])
     stats = counted.groupBy(*scope).agg(F.count(F.lit(1)).alias("_n"), F.avg("_dl").alias("_avgdl"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"_df{i}") for i in range(len(words))])
     # without a scope this is one row; with one, a row for each shard
     joined = counted.crossJoin(F.broadcast(stats)) if not scope else counted.join(stats, scope)
@@ -149,7 +153,7 @@ def contingency(a: DataFrame, b: DataFrame, wanted: DataFrame, query: str, item:
     hit = lambda m, name: m.select(query, item, F.lit(True).alias(name))
     both = wanted.join(hit(a, "_a"), [query, item], "left").join(hit(b, "_b"), [query, item], "left")
     in_a, in_b = F.col("_a").isNotNull(), F.col("_b").isNotNull()
-    return both.agg(F.count_if(in_a & in_b).alias("both"), F.count_if(in_a & ~in_b).alias("only_a"), F.count_if(~in_a & in_b).alias("only_b"), F.count_if(~in_a & ~in_b).alias("none"))
+    return both.agg(F.count_if(in_a & in_b).alias("hit_both"), F.count_if(in_a & ~in_b).alias("only_a"), F.count_if(~in_a & in_b).alias("only_b"), F.count_if(~in_a & ~in_b).alias("hit_none"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
