@@ -297,16 +297,25 @@ def english_prose(text: Column) -> Column:
 
 
 def language_class(text: Column) -> Column:
-    """The class of a text by the script of its letters."""
-    counts = {s: script_letters(text, s) for s in SCRIPT_RANGES} | {"other": other_letters(text)}
-    total = reduce(lambda a, b: a + b, counts.values())
+    """The class of a text by the script of its letters.  Counts are made once for
+    each text, and for ASCII texts, which have Latin letters only, not at all."""
     names = {"latin": "latin", "cjk": "zh/ja", "hangul": "ko", "cyrillic": "cyrillic", "arabic": "arabic", "indic": "indic", "sea": "lo/km/my", "other": "other"}
-    most = F.greatest(*[counts[s] for s in names])
-    top = F.coalesce(*[F.when(counts[s] == most, F.lit(name)) for s, name in names.items()])
-    return (
-        F.when(total == 0, "none").when(counts["thai"] * 2 >= total, "th").when(counts["thai"] * 10 >= total, "th+en")
-        .when(most * 2 < total, "other").when(top == "latin", F.when(english_prose(text), "en").otherwise("latin")).otherwise(top)
-    )
+    counts = F.struct(*[script_letters(text, s).alias(s) for s in SCRIPT_RANGES], other_letters(text).alias("other"))
+
+    def classify(c: Column) -> Column:
+        total = reduce(lambda a, b: a + b, [c[s] for s in [*SCRIPT_RANGES, "other"]])
+        most = F.greatest(*[c[s] for s in names])
+        top = F.coalesce(*[F.when(c[s] == most, F.lit(name)) for s, name in names.items()])
+        return (
+            F.when(total == 0, "none").when(c["thai"] * 2 >= total, "th").when(c["thai"] * 10 >= total, "th+en")
+            .when(most * 2 < total, "other").otherwise(top)
+        )
+
+    counted = F.get(F.transform(F.array(counts), classify), F.lit(0))
+    ascii_class = F.when(text.rlike("[A-Za-z]"), "latin").otherwise("none")
+    script = F.when(text.rlike(r"^\p{ASCII}*$"), ascii_class).otherwise(counted)
+    refined = F.transform(F.array(script), lambda s: F.when(s == "latin", F.when(english_prose(text), "en").otherwise("latin")).otherwise(s))
+    return F.when(text.isNotNull(), F.get(refined, F.lit(0)))
 
 
 def tokens(text: Column, longest: int = 128) -> Column:
