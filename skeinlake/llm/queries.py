@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from skeinlake.llm import bpe, canonical, conversations, langid, mixing, personal, spans
-from skeinlake.session import materialize, table
+from skeinlake.session import materialize, spread, table
 
 
 def _personal(spark: SparkSession, d: str) -> DataFrame:
-    return personal.extract(table(spark, d, "event_rows"), table(spark, d, "channel_users"))
+    return personal.extract(spread(table(spark, d, "event_rows").select("row_no", "text", "from_user")), table(spark, d, "channel_users"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:
@@ -22,7 +22,7 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     documents, rows = langid.inputs(*(table(spark, d, t) for t in ("documents", "event_rows", "lang_labels")))
-    return langid.label_segments(documents.unionByName(rows), langid.fit_sample([documents, rows]))
+    return langid.label_segments(spread(documents).unionByName(rows), langid.fit_sample([documents, rows]))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -50,12 +50,12 @@ def p7_counts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
-    return bpe.encode(table(spark, d, "documents"), "doc_id", "text")
+    return bpe.encode(spread(table(spark, d, "documents").select("doc_id", "text")), "doc_id", "text")
 
 
 def _sized(spark: SparkSession, d: str) -> DataFrame:
     documents = table(spark, d, "documents")
-    return mixing.documents_with_sizes(documents, bpe.token_counts(documents, "doc_id", "text"))
+    return mixing.documents_with_sizes(documents, bpe.token_counts(spread(documents.select("doc_id", "text")), "doc_id", "text"))
 
 
 def p9_mix(spark: SparkSession, d: str) -> DataFrame:
