@@ -18,18 +18,15 @@ from skeinlake.session import materialize
 KEY = ["_h1", "_h2", "_check"]
 
 
-def fold_case(text: Column) -> Column:
-    return F.lower(F.upper(text))
-
-
 def canonical_text(text: Column) -> Column:
     """Letters, marks and digits of the text in one case; null for null."""
-    folded = fold_case(text)
+    lower = F.lower(text)
     head = r"(?s)^([^\{]*)(\{.*\})([^\}]*)$"
-    fields = F.to_json(F.try_parse_json(F.regexp_replace(F.regexp_extract(folded, head, 2), r"\p{Cntrl}+", " ")))
-    sorted_call = F.concat(F.regexp_extract(folded, head, 1), fields, F.regexp_extract(folded, head, 3))
+    fields = F.to_json(F.try_parse_json(F.regexp_replace(F.regexp_extract(lower, head, 2), r"\p{Cntrl}+", " ")))
+    sorted_call = F.concat(F.regexp_extract(lower, head, 1), fields, F.regexp_extract(lower, head, 3))
     called = F.when(text.rlike(r"(?i)^\W*tool.?use\b[^\{]*\{"), sorted_call)
-    return fold_case(F.regexp_replace(F.coalesce(called, folded), r"[^\p{L}\p{M}\p{Nd}]+", ""))
+    # the optimizer makes lower(upper(x)) lower(x), so the marks go in between
+    return F.lower(F.regexp_replace(F.upper(F.coalesce(called, text)), r"[^\p{L}\p{M}\p{Nd}]+", ""))
 
 
 def counts_as_text(text: Column) -> Column:

@@ -22,7 +22,7 @@ AGENT = ["assistant", "agent", "model", "ai", "bot", "aiassistant", "chatbot", "
 #: Turns of one session are windowed in blocks of so many seq numbers.
 BLOCK = 10_000
 #: The calibrated gap: this quantile of the gaps between turns, times a factor, and at least so long.
-GAP_QUANTILE, GAP_FACTOR, GAP_LEAST_S = 0.95, 3.0, 1800
+GAP_QUANTILE, GAP_FACTOR, GAP_LEAST_S = 0.75, 12.0, 1800
 
 
 def side_of(role: Column) -> Column:

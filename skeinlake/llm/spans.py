@@ -323,13 +323,13 @@ def shard_hits(cuts: DataFrame, span: int, shard_chars: int = SHARD_CHARS, block
     loads = classes.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     blocks = loads.select("h", F.ceil(F.col("n") / block_cuts).cast("int").alias("nb"))
     own = classes.join(blocks, "h").withColumn("b", F.pmod(F.col("s1"), F.col("nb")).cast("int"))
-    # block pairs (i, j), i <= j: library i, streamed j; within a pair i < j either's cuts are known by their block
-    sides = F.flatten(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.array(F.struct(F.least(o, F.col("b")).alias("i"), F.greatest(o, F.col("b")).alias("j")))))
+    # block pairs (i, j): library i, streamed j
+    sides = F.flatten(F.transform(F.sequence(F.lit(0), F.col("nb") - 1), lambda o: F.array(F.struct(F.col("b").alias("i"), o.alias("j")), F.struct(o.alias("i"), F.col("b").alias("j")))))
     placed = own.withColumn("_p", F.explode(F.array_distinct(sides)))
     placed = placed.select(
         F.when(F.col("nb") == 1, F.pmod("h", F.lit(shards))).otherwise(F.col("h")).alias("shard"), (F.col("nb") == 1).alias("packed"),
         F.col("_p.i").alias("i"), F.col("_p.j").alias("j"), "s1", "s2", "cut", "doc_min", "doc_max",
-        (F.col("b") == F.col("_p.i")).alias("library"), F.lit(True).alias("streamed"),
+        (F.col("b") == F.col("_p.i")).alias("library"), (F.col("b") == F.col("_p.j")).alias("streamed"),
     )
     once = placed.dropDuplicates(["packed", "shard", "i", "j", "s1", "s2"])
     return once.groupBy("packed", "shard", "i", "j").applyInPandas(lambda pdf: search_shard(pdf, span), _HITS)
