@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -33,7 +35,9 @@ def shared_dir(spark: SparkSession) -> str:
         context = spark.sparkContext
         found = getattr(context, "_skeinlake_dir", None)
         if not found:
-            found = "file://" + tempfile.mkdtemp(prefix="skeinlake-")
+            folder = tempfile.mkdtemp(prefix="skeinlake-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+            found = "file://" + folder
             context._skeinlake_dir = found
     return found
 
