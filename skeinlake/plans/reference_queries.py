@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from skeinlake.functions import text as T
-from skeinlake.operators import mutations as M, sessions as S
+from skeinlake.operators import mutations as M, reports as Q, sessions as S
 from skeinlake.operators.filters import Scope, main_tiers, overlaps, sample
 from skeinlake.search import ranking as R
 from skeinlake.session import table
@@ -649,3 +649,111 @@ def first_word_overlap(spark: SparkSession, d: str) -> DataFrame:
 def mean_interval(spark: SparkSession, d: str) -> DataFrame:
     values = table(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))
     return R.bootstrap_interval(values, "x", 200)
+
+
+# ---- audits and reports -------------------------------------------------------
+
+
+@query(r"""WITH r AS (SELECT uid, text, octet_length(encode(text)) AS b, CASE WHEN role IN ('user','assistant','thinking','system') THEN '' WHEN regexp_matches(text,'^\[tool_use (Edit|Write|MultiEdit|NotebookEdit)\]') THEN 'edit-payload' WHEN regexp_matches(text,'^\[tool_use (Read|Glob|LS|Grep|TodoWrite)\]') THEN 'navigation-call' ELSE '' END AS rule FROM event_rows WHERE text IS NOT NULL AND uid IS NOT NULL AND role IN ('user','assistant','thinking','system','tool_use'))
+SELECT rule, count(*) AS n, sum(b)::BIGINT AS bytes, round(count(*)/(SELECT count(*) FROM r),6) AS part FROM r GROUP BY rule""")
+def noise_probe(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "event_rows").where("text IS NOT NULL AND uid IS NOT NULL AND role IN ('user','assistant','thinking','system','tool_use')")
+    return Q.noise_probe(rows).drop("samples")
+
+
+_FACET = {"via": "source", "chat_id": "chat_id", "msg_id": "message_id", "from_user": "user", "from_user_id": "user_id", "sent_ts": "ts"}
+_AT = {k: f"regexp_extract(a, '(?:^|[^\\w-]){v}=\"([^\"]*)\"', 1)" for k, v in _FACET.items()}
+
+
+@query("""WITH t AS (SELECT *, regexp_extract(text, '^\\s*<channel(?:\\s)([^>]*)(?:>|$)', 1) AS a FROM event_rows WHERE role='user' AND contains(text,'<channel'))
+SELECT row_no, """ + ", ".join(f"{x} AS {k}" for k, x in _AT.items()) + f" FROM t WHERE {_AT['via']} <> '' AND (" + " OR ".join(f"coalesce({k},'') <> {x}" for k, x in _AT.items()) + ")")
+def backfill_plan(spark: SparkSession, d: str) -> DataFrame:
+    return Q.backfill_plan(table(spark, d, "event_rows"))
+
+
+@query("""SELECT file_path, count_if(role='user' AND length(trim(text, ' '))>5 AND NOT starts_with(text,'[Request interrupted') AND NOT regexp_matches(text,'^\\s*(Continue from where you left off)\\.?\\s*$'))::BIGINT AS human,
+ count_if(role='assistant')::BIGINT AS answers, count_if(role='tool_use')::BIGINT AS calls, min(nullif(ts,'')) AS first_at, max(nullif(ts,'')) AS last_at FROM event_rows WHERE text IS NOT NULL AND file_path IS NOT NULL GROUP BY file_path""")
+def dig_files(spark: SparkSession, d: str) -> DataFrame:
+    return Q.dig(table(spark, d, "event_rows").where("text IS NOT NULL AND file_path IS NOT NULL"), ["file_path"], "ts").drop("first_prompt")
+
+
+@query("""WITH RECURSIVE s AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type='click'),
+l AS (SELECT p AS parent, event_id AS child FROM s WHERE p IS NOT NULL AND rn % 9 <> 0),
+w AS (SELECT parent AS node, parent AS root, 0::BIGINT AS depth FROM l WHERE parent NOT IN (SELECT child FROM l) GROUP BY parent UNION ALL SELECT l.child, w.root, w.depth + 1 FROM w JOIN l ON l.parent = w.node) SELECT node, root, depth FROM w""")
+def lineage_trees(spark: SparkSession, d: str) -> DataFrame:
+    clicks = table(spark, d, "events").where("event_type = 'click'")
+    own = W.partitionBy("user_id").orderBy("ts", "event_id")
+    links = clicks.select(F.lag("event_id").over(own).alias("parent"), F.col("event_id").alias("child"), F.row_number().over(own).alias("rn"))
+    return Q.lineage_trees(links.where("parent IS NOT NULL AND rn % 9 <> 0"))
+
+
+@query("""WITH n AS (SELECT file_no AS id, CASE WHEN file_no % 4 <> 0 THEN file_no - file_no % 4 END AS parent, lines FROM parsed_files), j AS (SELECT coalesce(p.id, n.id) AS id, p.id IS NOT NULL AS s, n.lines FROM n LEFT JOIN (SELECT DISTINCT id FROM n) p ON n.parent = p.id)
+SELECT id, count_if(s)::BIGINT AS spawned, sum(lines)::BIGINT AS lines FROM j GROUP BY id""")
+def fold_spawns(spark: SparkSession, d: str) -> DataFrame:
+    nodes = table(spark, d, "parsed_files").select(F.col("file_no").alias("id"), F.when(F.col("file_no") % 4 != 0, F.col("file_no") - F.col("file_no") % 4).alias("parent"), "lines")
+    return Q.fold_spawns(nodes, "id", "parent", ["lines"])
+
+
+@query("""WITH p AS (SELECT list_filter(string_split(file_path,'/'), lambda x: x<>'') AS a, lines FROM parsed_files), e AS (SELECT '/' || array_to_string(a[1:i],'/') AS dir, lines FROM p, LATERAL (SELECT unnest(range(1, len(a))) AS i)),
+r AS (SELECT dir, count(*) AS n_files, sum(lines)::BIGINT AS weight, regexp_replace(dir,'/[^/]+$','') AS parent FROM e GROUP BY dir), k AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY weight DESC, dir)::INT AS rank, count(*) OVER (PARTITION BY parent) AS c FROM r)
+SELECT dir, n_files, weight, parent, rank, greatest(c-3,0) AS more FROM k WHERE rank <= 3""")
+def tree_listing(spark: SparkSession, d: str) -> DataFrame:
+    return Q.tree_listing(S.path_rollup(table(spark, d, "parsed_files"), "file_path", F.col("lines")), 3)
+
+
+@query("SELECT DISTINCT repo FROM shards WHERE repo NOT IN (SELECT repo_key FROM chains WHERE repo_key IS NOT NULL)")
+def shards_never_first(spark: SparkSession, d: str) -> DataFrame:
+    return Q.never_first(table(spark, d, "shards").select("repo").distinct(), table(spark, d, "chains"), "repo", "repo_key")
+
+
+@query("""WITH h AS (SELECT bank, repo_key, count(*) AS n FROM event_rows WHERE contains(lower(text),'importer') GROUP BY ALL), k AS (SELECT * FROM h ORDER BY n DESC, bank, repo_key LIMIT 25)
+SELECT (SELECT epoch_us(max(loaded_at)) FROM parsed_files f WHERE EXISTS (SELECT 1 FROM k WHERE k.bank=f.bank AND k.repo_key=f.repo_key)) AS newest, (SELECT count(*) > 25 FROM h) AS sampled""")
+def answer_freshness(spark: SparkSession, d: str) -> DataFrame:
+    hits = R.contains_all(table(spark, d, "event_rows"), "text", "importer")
+    return Q.answer_freshness(hits, table(spark, d, "parsed_files"), ["bank", "repo_key"], "loaded_at").withColumn("newest", F.unix_micros("newest"))
+
+
+@query("""WITH p AS (SELECT bank, count(*) AS n FROM event_rows GROUP BY bank), i AS (SELECT bank, count(*) AS h FROM event_rows WHERE tier='session' GROUP BY bank)
+SELECT bank, n - coalesce(h,0) AS missing, (n - coalesce(h,0) >= 100 AND n - coalesce(h,0) >= n*0.05) AS rebuild FROM p LEFT JOIN i USING (bank)""")
+def index_lag(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "event_rows")
+    count = lambda df: df.groupBy("bank").agg(F.count(F.lit(1)).alias("n"))
+    return Q.index_lag(count(rows.where("tier = 'session'")), count(rows), ["bank"], 100)
+
+
+@query("""SELECT round(sum(CASE WHEN lang NOT IN ('en','latin','none') THEN chars ELSE 0 END)/sum(chars),6) AS part, sum(CASE WHEN lang NOT IN ('en','latin','none') THEN chars ELSE 0 END)/sum(chars) >= 0.05 AS multilingual FROM langs_result""")
+def model_advice(spark: SparkSession, d: str) -> DataFrame:
+    sums = table(spark, d, "langs_result").groupBy(F.col("lang").alias("class")).agg(F.sum("chars").alias("chars"))
+    return Q.model_advice(sums).drop("classes")
+
+
+@query("""WITH e AS (SELECT min(file_path) AS a, max(file_path) AS b FROM parsed_files) SELECT a[1:(SELECT max(i) FROM range(0, 400) t(i) WHERE i <= least(length(a), length(b)) AND a[1:i] = b[1:i])::INT] AS prefix FROM e""")
+def common_prefix(spark: SparkSession, d: str) -> DataFrame:
+    return Q.common_prefix(table(spark, d, "parsed_files"), "file_path")
+
+
+@query("""SELECT ((l_quantity>=10)::INT + (l_quantity>=25)::INT + (l_quantity>=40)::INT)::INT AS band, count(*) AS n, round(avg(l_discount),6) AS mean FROM lineitem GROUP BY 1""")
+def banded_means(spark: SparkSession, d: str) -> DataFrame:
+    return Q.banded_means(table(spark, d, "lineitem"), "l_quantity", [10, 25, 40], "l_discount")
+
+
+@query("""WITH c AS (SELECT unnest([1, 10, 30]) AS k) SELECT k::INT AS k, round(avg((p_size <= k)::INT),6) AS recall, median(p_size)::DOUBLE AS median_rank FROM part, c GROUP BY k""")
+def recall_curve(spark: SparkSession, d: str) -> DataFrame:
+    return Q.recall_curve(table(spark, d, "part"), "p_size", [1, 10, 30])
+
+
+@query()
+def known_item_queries(spark: SparkSession, d: str) -> DataFrame:
+    """Spans drawn from the documents, and whether a search for each finds its document among the rows that hold it."""
+    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    asked = Q.known_item_queries(docs, "doc_id", "text")
+    held = asked.join(docs.select("doc_id", S.squeeze(F.col("text")).alias("_t")), "doc_id")
+    return held.select("doc_id", "query", F.col("_t").contains(F.col("query")).alias("found"))
+
+
+@query("""WITH t AS (SELECT session_uuid, epoch_ms(loaded_at) AS ms FROM event_rows WHERE session_uuid IS NOT NULL AND loaded_at IS NOT NULL) SELECT session_uuid, min(ms) AS ms FROM t GROUP BY session_uuid HAVING max(ms) - min(ms) <= 5000""")
+def mark_collapse(spark: SparkSession, d: str) -> DataFrame:
+    """Sessions whose load marks all fall together."""
+    marks = table(spark, d, "event_rows").where("session_uuid IS NOT NULL AND loaded_at IS NOT NULL").select("session_uuid", F.unix_millis("loaded_at").alias("ms"))
+    kept = Q.collapse_marks(marks, ["session_uuid"], "ms")
+    return kept.groupBy("session_uuid").agg(F.min("ms").alias("ms"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
