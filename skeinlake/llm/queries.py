@@ -79,4 +79,25 @@ QUERIES = {
     for f in (p2_found, p2_redacted, p3_found, p3_segments, p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix, p10_found, p10_shared)
 }
 
-SQL: dict[str, str] = {}
+#: The canonical form in SQL: fields of a tool call sorted at two depths, as deep as they go here.
+_FIELDS = """array_to_string(list_transform(list_sort(json_keys(j)), lambda k: k || ' ' || CASE WHEN json_type(j, '$."' || k || '"') = 'OBJECT'
+  THEN array_to_string(list_transform(list_sort(json_keys(j, '$."' || k || '"')), lambda m: m || ' ' || (j -> ('$."' || k || '"."' || m || '"'))::VARCHAR), ' ') ELSE (j -> ('$."' || k || '"'))::VARCHAR END), ' ')"""
+_CANON = f"""raw AS (SELECT *, lower(text) AS low, regexp_extract(lower(text), '(?s)(\\{{.*\\}})', 1) AS body FROM event_rows WHERE regexp_matches(text, '[\\p{{L}}\\p{{Nd}}]')),
+tried AS (SELECT *, CASE WHEN regexp_matches(low, '^\\W*tool.?use\\b[^{{]*\\{{') AND json_valid(body) THEN body::JSON END AS j FROM raw),
+canon AS (SELECT *, regexp_replace(CASE WHEN j IS NOT NULL THEN replace(low, body, {_FIELDS}) ELSE low END, '[^\\p{{L}}\\p{{M}}\\p{{Nd}}]+', '', 'g') AS c FROM tried)"""
+
+SQL = {
+    "p7_found": f"""WITH {_CANON}, g AS (SELECT row_no AS copy_row_no, min(row_no) OVER (PARTITION BY session_uuid, c) AS row_no FROM canon)
+SELECT row_no, copy_row_no FROM g WHERE row_no <> copy_row_no""",
+    "p7_counts": f"WITH {_CANON} SELECT min(row_no) AS row_no, count(*) AS n_copies FROM canon GROUP BY session_uuid, c",
+    "p6_found": f"""WITH {_CANON}, side AS (SELECT *, CASE WHEN regexp_replace(lower(role), '[^\\p{{L}}]+', '', 'g') IN ('user', 'human') THEN 'u' WHEN regexp_replace(lower(role), '[^\\p{{L}}]+', '', 'g') IN ('assistant', 'agent', 'model') THEN 'a' END AS who FROM canon WHERE tier = 'session'),
+turns AS (SELECT session_uuid, c, arg_min(who, row_no) AS who, min(row_no) AS row_no FROM side WHERE who IS NOT NULL GROUP BY session_uuid, c),
+t AS (SELECT t.*, e.seq FROM turns t JOIN event_rows e USING (row_no)), q AS (SELECT session_uuid, seq, count(*) AS n FROM t GROUP BY ALL),
+b AS (SELECT session_uuid, bool_or(n > 1 OR seq IS NULL) AS broken FROM q GROUP BY 1), f AS (SELECT session_uuid, arg_min(who, seq) AS first, arg_max(who, seq) AS last FROM t GROUP BY 1),
+s AS (SELECT DISTINCT session_uuid FROM event_rows WHERE tier = 'session' AND session_uuid IS NOT NULL),
+r AS (SELECT session_uuid, CASE WHEN b.broken IS NULL THEN 'empty' WHEN b.broken OR first = 'a' THEN 'broken' WHEN last = 'u' THEN 'no_reply' END AS reason FROM s LEFT JOIN b USING (session_uuid) LEFT JOIN f USING (session_uuid))
+SELECT session_uuid, reason FROM r WHERE reason IS NOT NULL""",
+    "p10_found": """WITH w AS (SELECT DISTINCT doc_id, md5(substring(text, i, 250)) AS h FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 248)) AS i) WHERE length(text) >= 250),
+s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), k AS (SELECT w.doc_id, w.h FROM w JOIN s USING (h))
+SELECT DISTINCT a.doc_id, b.doc_id AS other_doc_id FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""",
+}
