@@ -392,12 +392,28 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return first.select("session_uuid", "seq", "r.*")
 
 
-@query()
+_TURNS = """WITH t AS (SELECT row_no, session_uuid, seq, text, lower(trim(role)) AS role FROM event_rows WHERE tier='session' AND seq IS NOT NULL AND text IS NOT NULL AND session_uuid IS NOT NULL),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_uuid, seq ORDER BY row_no) AS rn FROM t) WHERE rn=1)"""
+
+
+@query("""WITH t AS (SELECT row_no, session_uuid, seq, text, lower(trim(role)) AS role FROM event_rows WHERE tier='session' AND seq IS NOT NULL AND text IS NOT NULL AND session_uuid IS NOT NULL),
+o AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY session_uuid, seq ORDER BY row_no) AS rn FROM t) WHERE rn=1),
+n AS (SELECT *, sum((role='user')::INT) OVER (PARTITION BY session_uuid ORDER BY seq ROWS UNBOUNDED PRECEDING) AS exchange FROM o),
+x AS (SELECT session_uuid, exchange::BIGINT AS exchange, arg_min(text, seq) FILTER (role='user') AS asked, arg_max(text, seq) FILTER (role='assistant' AND regexp_matches(text,'[^\\s\\p{Z}]')) AS answered FROM n GROUP BY session_uuid, exchange HAVING count(*) FILTER (role='user') > 0) SELECT session_uuid, exchange, asked, answered FROM (SELECT *, row_number() OVER (PARTITION BY session_uuid ORDER BY exchange DESC) AS back FROM x) WHERE back <= 2""")
 def exchange_tail(spark: SparkSession, d: str) -> DataFrame:
     return S.exchanges(_turns(spark, d), ["session_uuid"], "seq", 2)
 
 
-@query()
+_HARNESS = "|".join([*[f"(?i:^\\s*{p})" for p in T.HOST_PREAMBLES], *T.HARNESS_TURNS, *T.INBOUND_TURNS])
+
+
+@query(_TURNS + f""", u AS (SELECT *, regexp_matches(text, '{_HARNESS}') AS h, regexp_extract(text, '^\\[tool_use ([\\w.:-]+)\\]', 1) AS tool,
+ CASE WHEN regexp_matches(text, '^\\[tool_use (Edit|Write|MultiEdit|NotebookEdit)\\]') THEN regexp_extract(text, '"file_path"\\s*:\\s*"([^"]+)"', 1) ELSE '' END AS edited FROM o),
+c AS (SELECT session_uuid, count_if(role='user' AND NOT h)::BIGINT AS asked, count_if(role='user' AND h)::BIGINT AS omitted, count_if(role='assistant')::BIGINT AS answers, count_if(role='tool_use')::BIGINT AS calls,
+ arg_max(regexp_replace(regexp_replace(text,'\\s+',' ','g'),'^ +| +$','','g'), seq) FILTER (role='assistant') AS ended_with FROM u GROUP BY 1),
+tl AS (SELECT session_uuid, array_to_string(list(v || ' ' || n ORDER BY n DESC, v)[1:12], ', ') AS top_tool FROM (SELECT session_uuid, tool AS v, count(*) AS n FROM u WHERE role='tool_use' AND tool<>'' GROUP BY ALL) GROUP BY 1),
+ed AS (SELECT session_uuid, array_to_string(list(v || ' ' || n ORDER BY n DESC, v)[1:12], ', ') AS top_edited FROM (SELECT session_uuid, edited AS v, count(*) AS n FROM u WHERE role='tool_use' AND edited<>'' GROUP BY ALL) GROUP BY 1)
+SELECT * FROM c LEFT JOIN tl USING (session_uuid) LEFT JOIN ed USING (session_uuid)""")
 def session_recap(spark: SparkSession, d: str) -> DataFrame:
     return S.recap(_turns(spark, d), ["session_uuid"], "seq")
 

@@ -131,6 +131,13 @@ def stream_dedupe(spark: SparkSession, d: str) -> DataFrame:
     return _run(spark, found.select("user_id", "event_type", "ts"), "dedupe", "append").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("SELECT user_id, count(*) AS n, round(sum(value),4) AS total FROM events GROUP BY user_id")
+def stream_stateful(spark: SparkSession, d: str) -> DataFrame:
+    found = _run(spark, live.running_totals(_stream(spark, d), "user_id", "ts", "value", "60 days"), "totals", "update")
+    last = found.groupBy("key").agg(F.max("n").alias("n"), F.max_by("total", "n").alias("total"))
+    return last.select(F.col("key").alias("user_id"), "n", F.round("total", 4).alias("total"))
+
+
 @query()
 def embed_pipeline(spark: SparkSession, d: str) -> DataFrame:
     """Every row without a vector gets one; then nothing is left to embed."""
