@@ -16,9 +16,9 @@ def noise_probe(events: DataFrame, samples: int = 3) -> DataFrame:
     marked = events.select("uid", "text", noise_rule(F.col("text"), F.col("role")).alias("rule"), F.octet_length("text").alias("bytes"))
     total = F.broadcast(events.agg(F.count(F.lit(1)).alias("_all")))
     head = F.struct("uid", F.substring("text", 1, 80).alias("head"))
-    # the smallest k of a group combine on the map side as k rows a task
-    first = W.partitionBy("rule", F.spark_partition_id()).orderBy("uid", "text")
-    few = marked.select("rule", "uid", head.alias("h"), F.row_number().over(first).alias("_r")).where(F.col("_r") <= samples)
+    # the filter on the rank keeps k rows a rule and task before the shuffle
+    first = W.partitionBy("rule").orderBy("h")
+    few = marked.select("rule", head.alias("h")).withColumn("_r", F.row_number().over(first)).where(F.col("_r") <= samples)
     listed = few.groupBy("rule").agg(F.slice(F.array_sort(F.collect_list("h")), 1, samples).alias("samples"))
     sums = marked.groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
     return sums.join(listed, "rule").crossJoin(total).select("rule", "n", "bytes", F.round(F.col("n") / F.col("_all"), 6).alias("part"), F.transform("samples", lambda s: s["head"]).alias("samples"))

@@ -209,16 +209,16 @@ def recap(events: DataFrame, keys: list[str], order: str, top: int = 12) -> Data
     return roles
 
 
-def dedupe_events(events: DataFrame, rank: list[Column], keep: str = "n_copies") -> DataFrame:
+def dedupe_events(events: DataFrame, rank: Column, keep: str = "n_copies") -> DataFrame:
     """One of the rows that share instant, role and text (or the uid, where there is
-    no instant), the best by `rank`, with the number of copies.  Two different
-    events may bear one uid, so that alone is no key."""
-    key = F.when(nonempty("ts").isNotNull(), F.struct(F.col("ts").alias("a"), F.col("role").alias("b"), F.col("text").alias("c"))).otherwise(
-        F.struct(F.lit("").alias("a"), F.lit("uid").alias("b"), F.col("uid").alias("c"))
-    )
-    own = W.partitionBy("_key")
-    marked = events.withColumn("_key", F.struct(F.xxhash64(key).alias("h"), F.sha1(F.to_json(key)).alias("s")))
-    return marked.withColumns({"_rank": F.row_number().over(own.orderBy(*rank)), keep: F.count(F.lit(1)).over(own)}).where("_rank = 1").drop("_rank", "_key")
+    no instant), that of the least rank, with the number of copies.  Two different
+    events may bear one uid, so that alone is no key.  Copies combine on the map
+    side, so a row that comes a million times costs a row a task."""
+    dated = nonempty("ts").isNotNull()
+    key = [F.when(dated, F.col(c)).alias(f"_k{i}") for i, c in enumerate(("ts", "role", "text"))] + [F.when(~dated, F.col("uid")).alias("_k3")]
+    order = F.struct(rank.isNull().alias("a"), rank.alias("b"), F.xxhash64(*events.columns).alias("c"))
+    best = F.min_by(F.struct(*events.columns), order).alias("_r")
+    return events.groupBy(*key).agg(best, F.count(F.lit(1)).alias(keep)).select("_r.*", keep)
 
 
 # ---- graphs and trees -------------------------------------------------------

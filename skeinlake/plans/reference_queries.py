@@ -421,7 +421,7 @@ def session_recap(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH k AS (SELECT *, CASE WHEN coalesce(ts,'')<>'' THEN md5(ts || chr(31) || coalesce(role,'~') || chr(31) || coalesce(text,'~')) ELSE 'uid' || uid END AS key FROM event_rows)
 SELECT min(row_no) AS row_no, count(*) AS n_copies FROM k GROUP BY key""")
 def dedupe_content(spark: SparkSession, d: str) -> DataFrame:
-    return S.dedupe_events(table(spark, d, "event_rows"), [F.col("row_no")]).select("row_no", "n_copies")
+    return S.dedupe_events(table(spark, d, "event_rows"), F.col("row_no")).select("row_no", "n_copies")
 
 
 @query("""WITH n AS (SELECT row_no, regexp_replace(regexp_replace(text,'\\s+',' ','g'),'^ +| +$','','g') AS norm FROM event_rows WHERE text IS NOT NULL AND role='user') SELECT min(row_no) AS row_no, count(*)-1 AS collapsed FROM n GROUP BY norm""")

@@ -89,10 +89,15 @@ def top(ranked: DataFrame, k: int, by: list[Column]) -> DataFrame:
 
 
 def per_scope_top(ranked: DataFrame, scope: list[str], k: int, by: list[Column]) -> DataFrame:
-    """The first k of each scope with their rank, and whether the scope had more."""
+    """The first k of each scope with their rank, and whether the scope had more.
+    The filter on the rank lets Spark keep k + 1 rows a scope and task before it
+    shuffles them."""
     own = W.partitionBy(*scope)
-    marked = ranked.withColumns({"rank": F.row_number().over(own.orderBy(*by)), "capped": F.count(F.lit(1)).over(own) > k})
-    return marked if k <= 0 else marked.where(F.col("rank") <= k)
+    marked = ranked.withColumn("rank", F.row_number().over(own.orderBy(*by)))
+    if k <= 0:
+        return marked.withColumn("capped", F.lit(False))
+    few = marked.where(F.col("rank") <= k + 1)
+    return few.withColumn("capped", F.max("rank").over(own) > k).where(F.col("rank") <= k)
 
 
 def hit_totals(hits: DataFrame, scope: list[str], limit: int) -> DataFrame:

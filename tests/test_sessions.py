@@ -45,7 +45,7 @@ def test_dedupe_is_by_content_not_uid(spark):
         [("u", "t1", "user", "a", 1), ("u", "t1", "user", "b", 2), ("v", "t1", "user", "a", 3), ("w", "", "user", "a", 4), ("w", "", "user", "z", 5), (None, None, None, None, 6)],
         "uid string, ts string, role string, text string, n long",
     )
-    got = {(r["n"], r["n_copies"]) for r in S.dedupe_events(df, [F.desc("n")]).collect()}
+    got = {(r["n"], r["n_copies"]) for r in S.dedupe_events(df, -F.col("n")).collect()}
     assert got == {(3, 2), (2, 1), (5, 2), (6, 1)}
 
 
