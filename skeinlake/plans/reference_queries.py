@@ -11,7 +11,7 @@ from skeinlake.functions import text as T
 from skeinlake.operators import mutations as M, reports as Q, sessions as S
 from skeinlake.operators.filters import Scope, main_tiers, overlaps, sample
 from skeinlake.search import ranking as R
-from skeinlake.session import table
+from skeinlake.session import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -144,7 +144,7 @@ def project_encoded_dir(spark: SparkSession, d: str) -> DataFrame:
  WHEN regexp_matches(text,'^\[tool_use (Edit|Write|MultiEdit|NotebookEdit)\]') THEN 'edit-payload' WHEN regexp_matches(text,'^\[tool_use (Read|Glob|LS|Grep|TodoWrite)\]') THEN 'navigation-call'
  WHEN regexp_matches(text,'[^ \t-\r]{120,}') AND regexp_matches(text,'[A-Za-z0-9+/]{120,}={0,2}') THEN 'binary-blob' ELSE '' END AS rule FROM event_rows WHERE length(text) <= 500""")
 def project_noise(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "event_rows").where(F.char_length("text") <= 500).select("row_no", T.noise_rule(F.col("text"), F.col("role")).alias("rule"))
+    return spread(table(spark, d, "event_rows")).where(F.char_length("text") <= 500).select("row_no", T.noise_rule(F.col("text"), F.col("role")).alias("rule"))
 
 
 _S = T.SCRIPT_RANGES
@@ -154,7 +154,7 @@ _COUNT = ", ".join(f"length(regexp_replace(text,'[^{r}]','','g')) AS {s}" for s,
 @query(f"""WITH c AS (SELECT lower(trim(source)) AS src, {_COUNT} FROM documents WHERE text IS NOT NULL)
 SELECT src, {', '.join(f'sum({s})::BIGINT AS {s}' for s in _S)} FROM c GROUP BY src""")
 def script_totals(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, d, "documents")).where("text IS NOT NULL")
     return docs.groupBy(F.lower(F.trim("source")).alias("src")).agg(*[F.sum(T.script_letters(F.col("text"), s)).alias(s) for s in T.SCRIPT_RANGES])
 
 
@@ -170,12 +170,12 @@ SELECT ID, CASE WHEN total=0 THEN 'none' WHEN thai*2>=total THEN 'th' WHEN thai*
 
 @query(_CLASS.replace("SOURCE", "documents").replace("ID", "doc_id"))
 def language_classes(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").where("text IS NOT NULL").select("doc_id", T.language_class(F.col("text")).alias("class"))
+    return spread(table(spark, d, "documents")).where("text IS NOT NULL").select("doc_id", T.language_class(F.col("text")).alias("class"))
 
 
 @query(f"WITH x AS ({_CLASS.replace('SOURCE', 'event_rows').replace('ID', 'bank, text')}) SELECT bank, class, count(*) AS n_events, sum(length(text))::BIGINT AS chars FROM x GROUP BY ALL")
 def language_mix(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "event_rows").where("text IS NOT NULL").select("bank", "text", T.language_class(F.col("text")).alias("class"))
+    rows = spread(table(spark, d, "event_rows")).where("text IS NOT NULL").select("bank", "text", T.language_class(F.col("text")).alias("class"))
     return rows.groupBy("bank", "class").agg(F.count(F.lit(1)).alias("n_events"), F.sum(F.char_length("text")).alias("chars"))
 
 
@@ -556,34 +556,34 @@ s AS (SELECT *, count(*) OVER ({by}) AS n, avg(dl) OVER ({by}) AS avgdl, {df} FR
 
 @query(_bm25(["peak", "concurrency", "cache", "cold"], "documents", "doc_id") + " SELECT doc_id, round(score,6) AS score FROM r WHERE score > 0 ORDER BY score DESC, doc_id LIMIT 20")
 def bm25_search(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, d, "documents")).where("text IS NOT NULL")
     scored = R.bm25(docs, "doc_id", "text", "peak concurrency cache cold").withColumn("score", F.round("score", 6))
     return R.top(scored, 20, [F.desc("score"), F.col("doc_id")])
 
 
 @query(_bm25(["importer", "index"], "event_rows", "row_no") + " SELECT row_no, round(score,6) AS score FROM r WHERE score > 0")
 def bm25_all(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "event_rows").where("text IS NOT NULL")
+    rows = spread(table(spark, d, "event_rows")).where("text IS NOT NULL")
     return R.bm25(rows, "row_no", "text", "importer index").withColumn("score", F.round("score", 6))
 
 
 @query(_bm25(["importer", "index"], "event_rows", "row_no") + " SELECT row_no, round(score,6) AS score FROM r WHERE score > 0")
 def bm25_index(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "event_rows").where("text IS NOT NULL")
+    rows = spread(table(spark, d, "event_rows")).where("text IS NOT NULL")
     return R.bm25_from_index(R.build_index(rows, "row_no", "text"), "row_no", "importer index").withColumn("score", F.round("score", 6))
 
 
 @query(_bm25(["tests", "green"], "documents", "doc_id", "repo_key") + """, k AS (SELECT repo_key, doc_id, round(score,6) AS score FROM r WHERE score > 0 AND repo_key IS NOT NULL),
 z AS (SELECT *, row_number() OVER (PARTITION BY repo_key ORDER BY score DESC, doc_id)::INT AS rank, count(*) OVER (PARTITION BY repo_key) > 3 AS capped FROM k) SELECT * FROM z WHERE rank <= 3""")
 def bm25_per_shard(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL AND repo_key IS NOT NULL")
+    docs = spread(table(spark, d, "documents")).where("text IS NOT NULL AND repo_key IS NOT NULL")
     scored = R.bm25(docs, "doc_id", "text", "tests green", ["repo_key"]).withColumn("score", F.round("score", 6))
     return R.per_scope_top(scored, ["repo_key"], 3, [F.desc("score"), F.col("doc_id")])
 
 
 @query("SELECT row_no FROM event_rows WHERE contains(lower(text), 'still the slow one')")
 def like_fallback(spark: SparkSession, d: str) -> DataFrame:
-    return R.contains_all(table(spark, d, "event_rows"), "text", "Still the SLOW one").select("row_no")
+    return R.contains_all(spread(table(spark, d, "event_rows")), "text", "Still the SLOW one").select("row_no")
 
 
 @query("""WITH c AS (SELECT bank, repo_key, count(*) AS n FROM event_rows WHERE contains(lower(text),'importer') GROUP BY ALL)
@@ -595,7 +595,7 @@ def search_total_floor(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT repo_key, {_TOKENS} AS w FROM event_rows), c AS (SELECT repo_key, count_if(list_contains(w,'importer')) AS a, count_if(list_contains(w,'the')) AS b, count_if(list_contains(w,'zebra')) AS z FROM t GROUP BY repo_key)
 SELECT unnest(['importer','the','zebra']) AS term, unnest([round(avg((a>=3)::INT),6), round(avg((b>=3)::INT),6), round(avg((z>=3)::INT),6)]) AS df_fraction FROM c""")
 def generic_query(spark: SparkSession, d: str) -> DataFrame:
-    return R.generic_terms(table(spark, d, "event_rows"), "text", ["importer", "the", "zebra"], ["repo_key"])
+    return R.generic_terms(spread(table(spark, d, "event_rows")), "text", ["importer", "the", "zebra"], ["repo_key"])
 
 
 _PROBE = [1.0 if i % 2 else -0.5 for i in range(64)]
@@ -626,7 +626,7 @@ def _top30(words: list[str], name: str) -> str:
 
 @query(_top30(["tests", "green"], "qa") + ", " + _top30(["cache", "cold"], "qb")[5:] + " SELECT doc_id, round(sum(1.0/(60+rank)),6) AS fused FROM (SELECT * FROM qa UNION ALL SELECT * FROM qb) GROUP BY doc_id")
 def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").where("text IS NOT NULL")
+    docs = spread(table(spark, d, "documents")).where("text IS NOT NULL")
     fused = R.reciprocal_rank_fusion([_ranked(docs, "tests green"), _ranked(docs, "cache cold")], ["doc_id"])
     return fused.withColumn("fused", F.round("fused", 6))
 
@@ -655,7 +655,7 @@ def method_contingency(spark: SparkSession, d: str) -> DataFrame:
 @query(f"""WITH t AS (SELECT session_uuid, list_distinct(list({_TOKENS}[1])) AS w FROM event_rows WHERE text <> '' AND role='user' GROUP BY 1), u AS (SELECT session_uuid, list_distinct(list({_TOKENS}[1])) AS w FROM event_rows WHERE text <> '' AND role='assistant' GROUP BY 1)
 SELECT session_uuid, round(len(list_intersect(list_filter(t.w, lambda x: x IS NOT NULL), u.w)) / len(list_filter(list_distinct(list_concat(t.w, u.w)), lambda x: x IS NOT NULL)),6) AS overlap FROM t JOIN u USING (session_uuid) WHERE len(list_filter(list_distinct(list_concat(t.w, u.w)), lambda x: x IS NOT NULL)) > 0""")
 def first_word_overlap(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "event_rows").where("text <> ''")
+    rows = spread(table(spark, d, "event_rows")).where("text <> ''")
     words = lambda role, name: rows.where(F.col("role") == role).groupBy("session_uuid").agg(F.collect_set(F.get(T.tokens(F.col("text")), F.lit(0))).alias(name))
     both = words("user", "a").join(words("assistant", "b"), "session_uuid").where(F.size(F.array_union("a", "b")) > 0)
     return both.select("session_uuid", F.round(R.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
@@ -673,7 +673,7 @@ def mean_interval(spark: SparkSession, d: str) -> DataFrame:
 @query(r"""WITH r AS (SELECT uid, text, octet_length(encode(text)) AS b, CASE WHEN role IN ('user','assistant','thinking','system') THEN '' WHEN regexp_matches(text,'^\[tool_use (Edit|Write|MultiEdit|NotebookEdit)\]') THEN 'edit-payload' WHEN regexp_matches(text,'^\[tool_use (Read|Glob|LS|Grep|TodoWrite)\]') THEN 'navigation-call' ELSE '' END AS rule FROM event_rows WHERE text IS NOT NULL AND uid IS NOT NULL AND role IN ('user','assistant','thinking','system','tool_use'))
 SELECT rule, count(*) AS n, sum(b)::BIGINT AS bytes, round(count(*)/(SELECT count(*) FROM r),6) AS part FROM r GROUP BY rule""")
 def noise_probe(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "event_rows").where("text IS NOT NULL AND uid IS NOT NULL AND role IN ('user','assistant','thinking','system','tool_use')")
+    rows = spread(table(spark, d, "event_rows")).where("text IS NOT NULL AND uid IS NOT NULL AND role IN ('user','assistant','thinking','system','tool_use')")
     return Q.noise_probe(rows).drop("samples")
 
 
