@@ -30,7 +30,7 @@ from skeinlake.session import materialize
 #: Code points of a span that counts, and of the windows that are hashed.
 SPAN, ANCHOR = 250, 100
 #: Characters of cuts in a shard, about; cuts of one anchor in a block.
-SHARD_CHARS, BLOCK_CUTS = 800_000, 1_500
+SHARD_CHARS, BLOCK_CUTS = 500_000, 1_000
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 2**64))
@@ -92,17 +92,17 @@ def suffix_array(codes: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]
     prefixes of neighbours, cut at the last doubling) by prefix doubling."""
     n = len(codes)
     _, rank = np.unique(codes, return_inverse=True)
-    ranks, width = [rank.astype(np.int64)], 1
+    ranks, width = [rank.astype(np.int32)], 1  # a shard is far below 2**31
     order = np.argsort(ranks[0], kind="stable")
     while width < depth:
         second = np.full(n, -1, np.int64)
         second[:-width] = ranks[-1][width:] if width < n else 0
         if width >= n:
             break
-        key = ranks[-1] * (n + 1) + second + 1
+        key = ranks[-1].astype(np.int64) * (n + 1) + second + 1
         order = np.argsort(key, kind="stable")
         sorted_key = key[order]
-        fresh = np.empty(n, np.int64)
+        fresh = np.empty(n, np.int32)
         fresh[order] = np.concatenate([[0], np.cumsum(sorted_key[1:] != sorted_key[:-1])])
         ranks.append(fresh)
         width *= 2
@@ -332,7 +332,10 @@ def shard_hits(cuts: DataFrame, span: int, shard_chars: int = SHARD_CHARS, block
         (F.col("b") == F.col("_p.i")).alias("library"), (F.col("b") == F.col("_p.j")).alias("streamed"),
     )
     once = placed.dropDuplicates(["packed", "shard", "i", "j", "s1", "s2"])
-    return once.groupBy("packed", "shard", "i", "j").applyInPandas(lambda pdf: search_shard(pdf, span), _HITS)
+    # a shard is small in bytes and long in work, so its partition must not be merged with others
+    parts = max(shards, int(cuts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    apart = once.repartition(parts, "packed", "shard", "i", "j")
+    return apart.groupBy("packed", "shard", "i", "j").applyInPandas(lambda pdf: search_shard(pdf, span), _HITS)
 
 
 def shared_pairs(df: DataFrame, id_column: str, text: str, span: int = SPAN, anchor: int = ANCHOR) -> DataFrame:
