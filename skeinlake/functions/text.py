@@ -345,3 +345,69 @@ def duration_label(ms: Column) -> Column:
         F.when(s >= 3600, F.format_string("%dh%02dm", F.floor(s / 3600), F.floor(s % 3600 / 60)))
         .when(s >= 60, F.format_string("%dm%02ds", F.floor(s / 60), s % 60)).otherwise(F.format_string("%ds", s))
     )
+
+
+# Directories whose next segment names a project inside a repository.
+PROJECT_FOLDERS = ["lab", "soul-brews-studio", "learn", "demos"]
+
+
+def location_of(cwd: Column, forges: list[str] = FORGES) -> Column:
+    """Struct (org, repo, project, worktree, dir) of a file's path in a repository;
+    dir is below the worktree and without the file."""
+    hosts = "|".join(h.replace(".", r"\.") for h in forges)
+    key = rf"(?:^|/)(?:{hosts})/([^/]+)/([^/]+)"
+    context = context_of(cwd, forges)
+    below = context["subpath"]
+    named = F.regexp_extract(below, rf"(?:^|/)(?:{'|'.join(PROJECT_FOLDERS)})/([^/]+)", 1)
+    incubated = F.regexp_extract(below, r"(?:^|/)incubate/[^/]+/([^/]+)", 1)
+    inner = F.regexp_replace(below, r"^(?:wt|agents)/[^/]+/", "")
+    folder = F.when(context["worktree"] != "", inner).otherwise(below)
+    inside = F.regexp_extract(cwd, key, 2) != ""
+    empty = lambda c: F.when(inside, c).otherwise("")
+    return F.struct(
+        empty(F.regexp_extract(cwd, key, 1)).alias("org"), empty(_plain_repo(F.regexp_extract(cwd, key, 2))).alias("repo"),
+        empty(F.when(named != "", named).otherwise(incubated)).alias("project"), empty(context["worktree"]).alias("worktree"),
+        empty(F.regexp_extract(folder, r"^(.+)/[^/]*$", 1)).alias("dir"),
+    )
+
+
+def chat_label(chat: Column) -> Column:
+    return F.when(F.char_length(chat) > 8, F.concat(F.lit("#…"), F.right(chat, F.lit(6)))).otherwise(F.concat(F.lit("#"), chat))
+
+
+def _listed(c: Column) -> Column:
+    return F.filter(F.split(F.coalesce(c, F.lit("")), ","), lambda x: x != "")
+
+
+def _more(items: Column, shown: int) -> Column:
+    return F.when(F.size(items) > shown, F.concat(F.lit(" +"), (F.size(items) - shown).cast("string"))).otherwise("")
+
+
+def room_tag(via: Column, chats: Column, people: Column) -> Column:
+    """Where a session lived and who spoke, from its comma-joined columns; '' without a channel."""
+    ways = F.array_distinct(F.transform(_listed(via), via_label))
+    rooms, who = _listed(chats), _listed(people)
+    room = F.when(F.size(rooms) > 0, F.concat(F.lit(" "), chat_label(F.get(rooms, F.lit(0))), _more(rooms, 1))).otherwise("")
+    names = F.when(F.size(who) > 0, F.concat(F.lit(" · "), F.array_join(F.slice(who, 1, 3), ", "), _more(who, 3))).otherwise("")
+    return F.when(F.size(ways) > 0, F.concat(F.lit("["), F.array_join(ways, "+"), room, names, F.lit("]"))).otherwise("")
+
+
+def channel_head(facets: Column) -> Column:
+    """Who, where and when of one delivery."""
+    where = F.concat(via_label(facets["via"]), F.when(facets["chat_id"] != "", F.concat(F.lit(" "), chat_label(facets["chat_id"]))).otherwise(""))
+    who = F.when(facets["from_user"] != "", F.concat(facets["from_user"], F.lit(" @ "), where)).otherwise(where)
+    return F.concat(who, F.when(facets["sent_ts"] != "", F.concat(F.lit(" · sent "), facets["sent_ts"])).otherwise(""))
+
+
+def query_keywords(query: Column) -> Column:
+    """A query as it is, and its words if there are several: languages without spaces count whole."""
+    whole = F.trim(query)
+    words = F.filter(F.split(whole, r"\s+"), lambda w: F.char_length(w) > 1)
+    return F.when(whole == "", F.array().cast("array<string>")).when(F.size(words) > 1, F.concat(F.array(whole), words)).otherwise(F.array(whole))
+
+
+def same_checkout(cwd_a: Column, cwd_b: Column, forges: list[str] = FORGES) -> Column:
+    """The same repository and worktree, or where there is no repository the same path."""
+    a, b = repo_key_of(cwd_a, forges), repo_key_of(cwd_b, forges)
+    tree = context_of(cwd_a, forges)["worktree"] == context_of(cwd_b, forges)["worktree"]
+    return F.when(a.isNotNull() & b.isNotNull(), (a == b) & tree).otherwise(cwd_a == cwd_b)
