@@ -54,16 +54,27 @@ def window_hashes(codes: np.ndarray, length: int) -> np.ndarray:
     return raw ^ (raw >> np.uint64(32))
 
 
+def sliding(values: np.ndarray, width: int, pick: np.ufunc, rest: int) -> np.ndarray:
+    """pick (minimum or maximum) of each window of `width` neighbours, in time that
+    doesn't depend on the width: prefixes and suffixes of blocks meet in a window."""
+    n = len(values)
+    blocks = np.full(-(-n // width) * width, rest, values.dtype)
+    blocks[:n] = values
+    blocks = blocks.reshape(-1, width)
+    upto = pick.accumulate(blocks, axis=1).ravel()
+    onward = pick.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
+    return pick(onward[: n - width + 1], upto[width - 1 : n])
+
+
 def anchors(codes: np.ndarray, span: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes) of the anchors of a text of at least `span` code points."""
+    """(positions, hashes) of the anchors of a text of at least `span` code points:
+    the places whose hash is the least of some `span - length + 1` neighbours."""
     hashes = window_hashes(codes, length)
     width = span - length + 1
-    windows = np.lib.stride_tricks.sliding_window_view(hashes, width)
-    step, found = 65_536, []
-    for at in range(0, len(windows), step):  # bounds the memory for long texts
-        part = windows[at : at + step]
-        found.append(np.unique(part.argmin(axis=1) + np.arange(at, at + len(part))))
-    places = np.unique(np.concatenate(found))
+    least = sliding(hashes, width, np.minimum, 2**64 - 1)
+    # a place is an anchor if the greatest least of the windows it is in is its own
+    edge = np.zeros(width - 1, np.uint64)
+    places = np.flatnonzero(sliding(np.concatenate([edge, least, edge]), width, np.maximum, 0) == hashes)
     return places, hashes[places]
 
 
