@@ -17,6 +17,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from skeinlake.session import materialize
+
 #: Width of a time slot.  Narrower slots split a hot entity further and make more summary rows.
 SLOT_MS = 24 * 3600 * 1000
 
@@ -51,8 +53,7 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str, slot_ms: i
     nothing.  A null entity is an entity of its own.  Repeated rows count as
     often as they occur; an empty input gives an empty result.
     """
-    spark = df.sparkSession
-    rows = df.select(F.col(entity).alias("_e"), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_t"))
+    rows = df.select(_key(df, entity), F.col(start).cast("long").alias("_s"), F.col(end).cast("long").alias("_t"))
     rows = rows.where(F.col("_s").isNotNull() & (F.col("_t") >= F.col("_s")))
     seconds = ((F.col("_t") - F.col("_s")).cast("decimal(18,0)") / F.lit(1000)).cast("decimal(18,6)")
     rows = rows.select(
@@ -70,6 +71,7 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str, slot_ms: i
             F.floor((F.unix_micros("_w.end") - 1) / 1000).cast("long").alias("_t"),
         )
     )
+    merged = materialize(merged, "merged")  # read three times from here on
     # What earlier slots reach: a period that starts no later than that is no new one.
     by_slot = W.partitionBy("_e").orderBy("_slot")
     reach = merged.groupBy("_e", "_slot").agg(F.max("_t").alias("_reach")).select(
@@ -85,26 +87,39 @@ def merge_intervals(df: DataFrame, entity: str, start: str, end: str, slot_ms: i
     whole = _slot_join(own, opened).withColumn("_id", F.coalesce("_own", "_before"))
     return whole.groupBy("_e", "_id").agg(
         F.max("_t").alias("end_ms"), F.sum("_n").alias("n_intervals"), F.sum("_work").alias("work_ms")
-    ).select(F.col("_e").alias(entity), F.col("_id").alias("start_ms"), "end_ms", "n_intervals", "work_ms")
+    ).select(_entity(df, entity), F.col("_id").alias("start_ms"), "end_ms", "n_intervals", "work_ms")
+
+
+#: Stands for a null entity while equality decides; no text of a table holds it.
+_NULL = "\0null"
+
+
+def _key(df: DataFrame, entity: str) -> Column:
+    """The entity as a text without nulls, so that joins by slot are plain equalities
+    and everything by (entity, slot) shares one partitioning."""
+    return F.coalesce(F.col(entity).cast("string"), F.lit(_NULL)).alias("_e")
+
+
+def _entity(df: DataFrame, entity: str) -> Column:
+    return F.when(F.col("_e") != _NULL, F.col("_e")).cast(df.schema[entity].dataType).alias(entity)
 
 
 def _slot_join(left: DataFrame, right: DataFrame) -> DataFrame:
-    right = right.withColumnsRenamed({"_e": "_e2", "_slot": "_slot2"})
-    return left.join(right, left["_e"].eqNullSafe(right["_e2"]) & (left["_slot"] == right["_slot2"]), "left").drop("_e2", "_slot2")
+    return left.join(right, ["_e", "_slot"], "left")
 
 
 def gaps(periods: DataFrame, entity: str, slot_ms: int = SLOT_MS) -> DataFrame:
     """The stretches between neighbouring periods of an entity: entity, start_ms,
     end_ms.  `lead` runs within (entity, slot); the last period of a slot takes
     the first start of the next slot that has one, from the slots' summaries."""
-    slotted = periods.select(F.col(entity).alias("_e"), "start_ms", "end_ms", F.floor(F.col("start_ms") / slot_ms).alias("_slot"))
+    slotted = periods.select(_key(periods, entity), "start_ms", "end_ms", F.floor(F.col("start_ms") / slot_ms).alias("_slot"))
     first = slotted.groupBy("_e", "_slot").agg(F.min("start_ms").alias("_first")).select(
         "_e", "_slot", F.lead("_first").over(W.partitionBy("_e").orderBy("_slot")).alias("_next_slot")
     )
     following = F.lead("start_ms").over(W.partitionBy("_e", "_slot").orderBy("start_ms"))
     return (
         _slot_join(slotted.withColumn("_lead", following), first)
-        .select(F.col("_e").alias(entity), F.col("end_ms").alias("start_ms"), F.coalesce("_lead", "_next_slot").alias("end_ms"))
+        .select(_entity(periods, entity), F.col("end_ms").alias("start_ms"), F.coalesce("_lead", "_next_slot").alias("end_ms"))
         .where(F.col("end_ms").isNotNull())
     )
 
@@ -132,8 +147,6 @@ def interval_report(groups: DataFrame, recorded: DataFrame) -> DataFrame:
     """Periods, gaps and wrong recorded totals of all chains: chain_id, kind,
     start_ms, end_ms.  `groups` are versions of intervals (group_id, chain_id,
     start_ms, end_ms, loaded_at), of which the last loaded counts."""
-    from skeinlake.session import materialize
-
     versions = groups.select("group_id", "chain_id", "start_ms", "end_ms", "loaded_at")
     counted = usable_intervals(latest_version(versions, "group_id", ["loaded_at"]), "start_ms", "end_ms")
     periods = materialize(merge_intervals(counted, "chain_id", "start_ms", "end_ms"), "periods")
