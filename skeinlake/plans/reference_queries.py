@@ -631,15 +631,13 @@ def rank_fusion(spark: SparkSession, d: str) -> DataFrame:
     return fused.withColumn("fused", F.round("fused", 6))
 
 
-@query("""WITH q AS (SELECT vec_id AS query, label, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id AS item, list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) AS c FROM q, embeddings),
+@query("""WITH q AS (SELECT vec_id AS query, label, embedding AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query, vec_id AS item, list_dot_product(q::DOUBLE[], embedding::DOUBLE[]) AS c FROM q, embeddings WHERE vec_id <> query),
 r AS (SELECT query, item, row_number() OVER (PARTITION BY query ORDER BY c DESC, item) AS rank FROM s), f AS (SELECT q.query, r.rank FROM q LEFT JOIN r ON r.query=q.query AND r.item=q.query+1 AND r.rank<=100)
 SELECT count(*) AS n, round(avg(coalesce(1.0/rank,0)),6) AS mrr, round(avg((coalesce(rank,0)=1)::INT),6) AS recall_1, round(avg((rank IS NOT NULL)::INT),6) AS recall_k, round(avg((rank IS NULL)::INT),6) AS missed FROM f""")
 def known_item_measures(spark: SparkSession, d: str) -> DataFrame:
     vectors = table(spark, d, "embeddings")
     queries = vectors.where("vec_id % 20 = 0")
-    left, right = queries.select(F.col("vec_id").alias("query"), F.col("embedding").alias("q")), vectors.select(F.col("vec_id").alias("item"), F.col("embedding").alias("v"))
-    scored = right.crossJoin(F.broadcast(left)).select("query", "item", T.dot(F.col("q"), F.col("v")).alias("c"))  # the stated queries against all rows
-    ranked = scored.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("c"), "item")))
+    ranked = R.knn_join(queries, vectors, "vec_id", "vec_id", "embedding", 100).withColumnRenamed("neighbour", "item")
     return R.retrieval_measures(ranked, queries.select(F.col("vec_id").alias("query"), (F.col("vec_id") + 1).alias("item")), "query", "item", 100)
 
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skeinlake.functions.text import dot, tokens
@@ -125,13 +127,36 @@ def cosine_top(vectors: DataFrame, id_column: str, vector: str, query: list[floa
     return top(vectors.select(id_column, cosine.alias("cosine")), k, [F.desc("cosine"), F.col(id_column)])
 
 
-def knn_join(queries: DataFrame, vectors: DataFrame, query_id: str, id_column: str, vector: str, k: int) -> DataFrame:
-    """The k nearest vectors of each of a stated set of queries, exactly.  The
-    queries' side is a bounded set that the caller states; partial top-k per
-    partition keeps the shuffle at k rows a query and partition."""
-    left = queries.select(F.col(query_id).alias("query"), F.col(vector).alias("_q"))
-    right = vectors.select(F.col(id_column).alias("neighbour"), F.col(vector).alias("_v"))
-    scored = right.join(left, F.col("neighbour") != F.col("query")).select("query", "neighbour", dot(F.col("_q"), F.col("_v")).alias("cosine"))
+def knn_join(
+    queries: DataFrame, vectors: DataFrame, query_id: str, id_column: str, vector: str, k: int, query_block: int = 2_000, vector_block: int = 20_000
+) -> DataFrame:
+    """The k nearest vectors of each of a stated set of queries, exactly: query,
+    neighbour, cosine, rank; a query is no neighbour of itself.
+
+    Both sides are cut into blocks by a hash of the id, and each pair of blocks is
+    one matrix product in one task, which hands on k rows a query.  Nothing is
+    broadcast; memory is bounded by the block sizes, whatever the tables."""
+    left = queries.select(F.col(query_id).cast("long").alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    right = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    q_blocks, v_blocks = (max(1, -(-df.count() // size)) for df, size in ((left, query_block), (right, vector_block)))
+    block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = left.withColumn("qb", block(q_blocks)).withColumn("vb", every(v_blocks).cast("long"))
+    right = right.withColumn("vb", block(v_blocks)).withColumn("qb", every(q_blocks).cast("long"))
+
+    def product(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
+        if q.empty or v.empty:
+            return pd.DataFrame({"query": [], "neighbour": [], "cosine": []})
+        scores = np.stack(q["v"]).astype(np.float64) @ np.stack(v["v"]).astype(np.float64).T
+        own, ids = q["id"].to_numpy(), v["id"].to_numpy()
+        scores[own[:, None] == ids[None, :]] = -np.inf
+        # ties at the k-th place are settled by id, so all that reach it are looked at
+        kth = np.partition(scores, max(0, scores.shape[1] - k), axis=1)[:, max(0, scores.shape[1] - k)]
+        rows, columns = np.nonzero((scores >= kth[:, None]) & np.isfinite(scores))
+        found = pd.DataFrame({"query": own[rows], "neighbour": ids[columns], "cosine": scores[rows, columns]})
+        return found.sort_values(["query", "cosine", "neighbour"], ascending=[True, False, True]).groupby("query").head(k)
+
+    scored = left.groupBy("qb", "vb").cogroup(right.groupBy("qb", "vb")).applyInPandas(product, "query long, neighbour long, cosine double")
     best = W.partitionBy("query").orderBy(F.desc("cosine"), "neighbour")
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 

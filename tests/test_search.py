@@ -49,3 +49,18 @@ def test_embedding_resumes_and_isolates(spark):
 def test_bootstrap_covers_the_mean(spark):
     r = R.bootstrap_interval(spark.range(400).select(F.col("id"), (F.col("id") % 10).cast("double").alias("x")), "x", 300).first()
     assert r["low"] < r["mean"] < r["high"] and r["high"] - r["low"] < 1.0
+
+
+def test_knn_in_blocks_equals_brute_force(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    vectors = rng.integers(-2, 3, (60, 4)).astype(float)
+    df = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vectors)] + [(99, None)], "id long, v array<float>")
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in R.knn_join(df.where("id % 5 = 0"), df, "id", "id", "v", 4, 3, 7).collect()}
+    want = {}
+    for q in range(0, 60, 5):
+        order = sorted((i for i in range(60) if i != q), key=lambda i: (-vectors[q] @ vectors[i], i))
+        want |= {(q, n + 1): i for n, i in enumerate(order[:4])}
+    assert got == want
+    assert R.knn_join(df.limit(0), df, "id", "id", "v", 3).count() == 0
