@@ -140,9 +140,9 @@ def knn_join(
     right = vectors.select(F.col(id_column).cast("long").alias("id"), F.col(vector).alias("v")).where("v IS NOT NULL")
     q_blocks, v_blocks = (max(1, -(-df.count() // size)) for df, size in ((left, query_block), (right, vector_block)))
     block = lambda n: F.pmod(F.xxhash64("id"), F.lit(n))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = left.withColumn("qb", block(q_blocks)).withColumn("vb", every(v_blocks).cast("long"))
-    right = right.withColumn("vb", block(v_blocks)).withColumn("qb", every(q_blocks).cast("long"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<bigint>"))
+    left = left.withColumn("qb", block(q_blocks)).withColumn("vb", every(v_blocks))
+    right = right.withColumn("vb", block(v_blocks)).withColumn("qb", every(q_blocks))
 
     def product(q: pd.DataFrame, v: pd.DataFrame) -> pd.DataFrame:
         if q.empty or v.empty:
