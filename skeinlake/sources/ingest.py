@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skeinlake.functions.text import FORGES, noise_rule, repo_key_of
 from skeinlake.operators.mutations import delete, keep_last
@@ -109,4 +109,4 @@ def best_copies(found: DataFrame, session: str, weight: str, n: int, order: str)
     """Of the copies of a session the heaviest, then the first n by `order`."""
     best = F.max_by(F.struct(*found.columns), F.struct(weight, "path")).alias("_r")
     one = found.groupBy(F.col(session).alias("_s")).agg(best).select("_r.*")
-    return one.withColumn("_k", F.row_number().over(W.orderBy(order))).where(F.col("_k") <= n).drop("_k") if n > 0 else one
+    return one.orderBy(order).limit(n) if n > 0 else one
