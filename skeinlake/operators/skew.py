@@ -19,7 +19,7 @@ from skeinlake.session import materialize
 #: A key is packed, not hashed, from this part of a task's fair share of rows.
 PACK_FROM = 0.01
 
-_PLAN = "_key string, _places array<int>"
+_PLAN = "_key string, __places array<int>"
 
 
 def pack(loads: list[tuple[str | None, int]], share: float, tasks: int, rest: int = 0) -> list[tuple[str | None, list[int]]]:
@@ -39,7 +39,7 @@ def pack(loads: list[tuple[str | None, int]], share: float, tasks: int, rest: in
 
 
 def load_plan(df: DataFrame, key: str, tasks: int) -> DataFrame:
-    """One plan row for each packed key: _key and its tasks, _places."""
+    """One plan row for each packed key: _key and its tasks, __places."""
     counts = materialize(df.groupBy(F.col(key).cast("string").alias("_key")).agg(F.count(F.lit(1)).alias("_rows")), "loads")
     total = counts.agg(F.sum("_rows")).first()[0] or 0
     share = max(1.0, total / tasks)
@@ -49,27 +49,27 @@ def load_plan(df: DataFrame, key: str, tasks: int) -> DataFrame:
 
 
 def _places(df: DataFrame, key: str, plan: DataFrame, tasks: int) -> DataFrame:
-    """df with _places.  The plan is broadcast: it has at most tasks / PACK_FROM rows."""
-    p = F.broadcast(plan.withColumnRenamed("_key", "_key2"))
+    """df with __places.  The plan is broadcast: it has at most tasks / PACK_FROM rows."""
+    p = F.broadcast(plan.withColumnRenamed("_key", "__key2"))
     tail = F.array(F.pmod(F.xxhash64(F.lit("tail"), F.col(key).cast("string")), F.lit(tasks)).cast("int"))
-    joined = df.join(p, F.col(key).cast("string").eqNullSafe(F.col("_key2")), "left").drop("_key2")
-    return joined.withColumn("_places", F.coalesce("_places", tail))
+    joined = df.join(p, F.col(key).cast("string").eqNullSafe(F.col("__key2")), "left").drop("__key2")
+    return joined.withColumn("__places", F.coalesce("__places", tail))
 
 
 def fragment(df: DataFrame, key: str, plan: DataFrame, tasks: int, spread: list[str]) -> DataFrame:
-    """df with `_task`, partitioned so that task i has exactly the rows of _task i.
+    """df with `__task`, partitioned so that task i has exactly the rows of __task i.
     A hash of the columns `spread` divides the rows of a split key evenly; it is
     a function of the row, so a task that is run again gives the same rows."""
-    at = F.pmod(F.xxhash64(*spread), F.size("_places")).cast("int")
+    at = F.pmod(F.xxhash64(*spread), F.size("__places")).cast("int")
     return (
-        _places(df, key, plan, tasks).withColumn("_task", F.get("_places", at)).drop("_places")
-        .repartitionById(tasks, F.col("_task"))
+        _places(df, key, plan, tasks).withColumn("__task", F.get("__places", at)).drop("__places")
+        .repartitionById(tasks, F.col("__task"))
     )
 
 
 def replicate(side: DataFrame, key: str, plan: DataFrame, tasks: int) -> DataFrame:
     """The matching side, each row once for each task that works on its key."""
-    return _places(side, key, plan, tasks).withColumn("_task", F.explode("_places")).drop("_places").repartitionById(tasks, F.col("_task"))
+    return _places(side, key, plan, tasks).withColumn("__task", F.explode("__places")).drop("__places").repartitionById(tasks, F.col("__task"))
 
 
 def balanced_join(
@@ -86,9 +86,9 @@ def balanced_join(
     side = side.withColumnsRenamed({c: f"{c}_side" for c in side.columns if c in df.columns})
     side_key = f"{side_key}_side" if side_key in df.columns else side_key
     left = fragment(df, key, plan, tasks, spread)
-    right = replicate(side, side_key, plan, tasks).withColumnRenamed("_task", "_task2")
-    on = (F.col("_task") == F.col("_task2")) & F.col(key).eqNullSafe(F.col(side_key))
-    return left.join(right, on, how).drop("_task", "_task2")
+    right = replicate(side, side_key, plan, tasks).withColumnRenamed("__task", "__task2")
+    on = (F.col("__task") == F.col("__task2")) & F.col(key).eqNullSafe(F.col(side_key))
+    return left.join(right, on, how).drop("__task", "__task2")
 
 
 def balanced_aggregate(
@@ -100,7 +100,7 @@ def balanced_aggregate(
     a key of its own; an empty table gives an empty result."""
     tasks = tasks or tasks_of(df)
     plan = load_plan(df, key, tasks)
-    parts = fragment(df, key, plan, tasks, spread).groupBy(key, "_task").agg(*[c.alias(n) for n, c in partial.items()])
+    parts = fragment(df, key, plan, tasks, spread).groupBy(key, "__task").agg(*[c.alias(n) for n, c in partial.items()])
     return parts.groupBy(key).agg(*[c.alias(n) for n, c in final.items()])
 
 

@@ -6,8 +6,8 @@ from skeinlake.operators import skew as K
 
 
 def rows(spark):
-    data = [(i, "hot" if i % 3 == 0 else None if i % 50 == 1 else f"k{i % 97}", i % 11) for i in range(6000)]
-    return spark.createDataFrame(data, "id long, key string, session long")
+    data = [(i, "hot" if i % 3 == 0 else None if i % 50 == 1 else f"k{i % 97}", i % 11, "x", 1) for i in range(6000)]
+    return spark.createDataFrame(data, "id long, key string, session long, _key string, _task int")
 
 
 def side(spark):
@@ -23,10 +23,10 @@ def test_pack_spreads_a_heavy_key():
 def test_fragments_are_even_and_whole(spark):
     df = rows(spark)
     plan = K.load_plan(df, "key", 8)
-    got = K.fragment(df, "key", plan, 8, ["id"]).select("id", "_task", F.spark_partition_id().alias("p")).collect()
+    got = K.fragment(df, "key", plan, 8, ["id"]).select("id", "__task", F.spark_partition_id().alias("p")).collect()
     assert sorted(r["id"] for r in got) == list(range(6000))
-    assert all(r["p"] == r["_task"] for r in got)
-    sizes = Counter(r["_task"] for r in got)
+    assert all(r["p"] == r["__task"] for r in got)
+    sizes = Counter(r["__task"] for r in got)
     assert max(sizes.values()) < 1.5 * 6000 / 8
 
 
