@@ -301,12 +301,14 @@ def search_shard(pdf: pd.DataFrame, span: int) -> pd.DataFrame:
 def folded_copies(df: DataFrame, id_column: str, text: str, span: int) -> tuple[DataFrame, DataFrame]:
     """(representatives: doc, text; members: doc, member), of texts long enough."""
     rows = df.select(F.col(id_column).cast("long").alias("member"), F.col(text).alias("text")).where(F.char_length("text") >= span)
+    if rows.groupBy("member").count().where("count > 1").limit(1).count():
+        rows = rows.groupBy("member").agg(F.min("text").alias("text"))
     keyed = rows.select("member", F.xxhash64("text").alias("k1"), F.xxhash64(F.lit("second"), "text").alias("k2"), F.char_length("text").alias("k3"))
     members = materialize(keyed, "text-keys")
     classes = members.groupBy("k1", "k2", "k3").agg(F.min("member").alias("doc"))
     membership = materialize(members.join(classes, ["k1", "k2", "k3"]).select("doc", "member").distinct(), "members")
     representatives = membership.where("doc = member").select("doc").distinct()
-    texts = rows.join(representatives, F.col("member") == F.col("doc"), "left_semi").dropDuplicates(["member"])
+    texts = rows.join(representatives, F.col("member") == F.col("doc"), "left_semi")
     return texts.withColumnRenamed("member", "doc"), membership
 
 
@@ -353,8 +355,8 @@ def shared_pairs(df: DataFrame, id_column: str, text: str, span: int = SPAN, anc
     """Pairs of rows (smaller id first) that share a verbatim span of at least
     `span` code points: id_column, other_<id_column>.
 
-    Null, empty and short texts share nothing; ids are taken as unique (rows that
-    repeat an id count as one document); long texts are searched whole; an empty
+    Null, empty and short texts share nothing; rows that repeat an id count as one
+    document, with the least of their texts; long texts are searched whole; an empty
     table gives an empty result; other columns are ignored.
     """
     texts, membership = folded_copies(df, id_column, text, span)

@@ -52,6 +52,12 @@ def test_random_passages(spark, seed, monkeypatch):
     assert found(spark, docs, 30, 12) == brute(docs, 30)
 
 
+def test_repeated_ids(spark):
+    a, b = "x y z " * 60, "other words " * 40
+    docs = [(1, a), (1, a), (2, a), (2, "a" + b), (3, "q" + b), (None, a)]
+    assert found(spark, docs)[0] == {(2, 3)}
+
+
 def test_empty(spark):
     assert found(spark, [(1, None), (2, "")]) == (set(), {})
     df = spark.createDataFrame([], "doc_id long, text string")
