@@ -24,8 +24,8 @@ from skeinlake.session import materialize
 TOPICS = 32
 #: Rounds of raking; it stops earlier when all margins are met to TOLERANCE.
 ROUNDS, TOLERANCE = 200, 1e-6
-#: Documents in a block of the systematic draw, about.
-BLOCK_DOCS = 20_000
+#: Documents in a block of the systematic draw, about, and draws that are compared.
+BLOCK_DOCS, DRAWS = 20_000, 32
 
 
 def source_of(source: Column) -> Column:
@@ -107,10 +107,17 @@ def calibrated_copies(docs: DataFrame, targets: DataFrame, total_tokens: float |
     joined = joined.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)))
     order = W.partitionBy("source", "_block").orderBy("lang", "topic", "n_tokens", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     start = F.pmod(F.xxhash64(F.lit(seed), "source", "_block"), F.lit(1_000_003)) / 1_000_003
-    upto = F.sum("weight").over(order) + start
-    return joined.withColumn("_upto", F.round(upto, 9)).withColumn(
-        "copies", (F.floor("_upto") - F.floor(F.round(F.col("_upto") - F.col("weight"), 9))).cast("int")
-    ).select("doc_id", "source", "lang", "topic", "n_tokens", "copies")
+    placed = joined.select("doc_id", "source", "lang", "topic", "n_tokens", "weight", F.sum("weight").over(order).alias("_upto"), start.alias("_start"))
+    placed = materialize(placed, "placed")
+    copies = lambda shift: (F.floor(F.round(F.col("_upto") + shift, 9)) - F.floor(F.round(F.col("_upto") + shift - F.col("weight"), 9))).cast("int")
+    # of DRAWS equally good draws, which differ by where they start, the one whose tokens come nearest to what is due
+    shift = lambda i: F.col("_start") + i / DRAWS
+    drawn = placed.groupBy("source").agg(*[F.sum(copies(shift(i)) * F.col("n_tokens")).alias(f"t{i}") for i in range(DRAWS)]).collect()
+    best = {r["source"]: min(range(DRAWS), key=lambda i: (abs(r[f"t{i}"] - due[names.index(r["source"])]), i)) for r in drawn}
+    chosen = F.lit(0.0)
+    for name, i in best.items():
+        chosen = F.when(F.col("source") == name, F.lit(i / DRAWS)).otherwise(chosen)
+    return placed.select("doc_id", "source", "lang", "topic", "n_tokens", copies(F.col("_start") + chosen).alias("copies"))
 
 
 def documents_with_sizes(documents: DataFrame, counts: DataFrame) -> DataFrame:
