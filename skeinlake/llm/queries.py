@@ -97,6 +97,10 @@ b AS (SELECT session_uuid, bool_or(n > 1 OR seq IS NULL) AS broken FROM q GROUP
 s AS (SELECT DISTINCT session_uuid FROM event_rows WHERE tier = 'session' AND session_uuid IS NOT NULL),
 r AS (SELECT session_uuid, CASE WHEN b.broken IS NULL THEN 'empty' WHEN b.broken OR first = 'a' THEN 'broken' WHEN last = 'u' THEN 'no_reply' END AS reason FROM s LEFT JOIN b USING (session_uuid) LEFT JOIN f USING (session_uuid))
 SELECT session_uuid, reason FROM r WHERE reason IS NOT NULL""",
+    "p10_shared": """WITH w AS (SELECT doc_id, i, md5(substring(text, i, 250)) AS h FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 248)) AS i) WHERE length(text) >= 250),
+s AS (SELECT h FROM w GROUP BY h HAVING count(DISTINCT doc_id) > 1), k AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 250 THEN 0 ELSE 1 END AS fresh FROM w JOIN s USING (h)),
+n AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i ROWS UNBOUNDED PRECEDING) AS island FROM k), p AS (SELECT doc_id, max(i) - min(i) + 250 AS chars FROM n GROUP BY doc_id, island)
+SELECT doc_id, count(*) AS n_spans, sum(chars)::BIGINT AS shared_chars, any_value(length(text)) AS n_chars FROM p JOIN documents USING (doc_id) GROUP BY doc_id""",
     "p10_found": """WITH w AS (SELECT DISTINCT doc_id, md5(substring(text, i, 250)) AS h FROM documents, LATERAL (SELECT unnest(range(1, length(text) - 248)) AS i) WHERE length(text) >= 250),
 s AS (SELECT h FROM w GROUP BY h HAVING count(*) > 1), k AS (SELECT w.doc_id, w.h FROM w JOIN s USING (h))
 SELECT DISTINCT a.doc_id, b.doc_id AS other_doc_id FROM k a JOIN k b ON a.h = b.h AND a.doc_id < b.doc_id""",
