@@ -138,9 +138,9 @@ def stream_stateful(spark: SparkSession, d: str) -> DataFrame:
     return last.select(F.col("key").alias("user_id"), "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query("SELECT 'hashing-64' AS model, 64 AS dim, count(*) AS n FROM documents WHERE length(text) >= 24")
 def embed_pipeline(spark: SparkSession, d: str) -> DataFrame:
-    """Every row without a vector gets one; then nothing is left to embed."""
+    """Every row that lacks a vector gets one."""
     docs = table(spark, d, "documents").select("doc_id", "text").where("text IS NOT NULL")
     none = spark.createDataFrame([], "doc_id long")
     vectors = E.embed(E.backlog(docs, none, "doc_id"), "doc_id", E.hashing_provider(), "hashing-64")
