@@ -15,6 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from skeinlake.functions.text import dot, tokens
+from skeinlake.session import materialize
 
 K1, B, LONGEST = 1.2, 0.75, 128
 
@@ -32,13 +33,16 @@ def postings(docs: DataFrame, id_column: str, text: str, scope: list[str], words
 
 
 def build_index(docs: DataFrame, id_column: str, text: str, scope: list[str] = []) -> dict[str, DataFrame]:  # noqa: B006
-    """The tables of an index: postings, document frequencies, corpus statistics by scope."""
-    posted = postings(docs, id_column, text, scope)
-    sizes = docs.select(*scope, F.size(tokens(F.col(text))).alias("dl"))
+    """The tables of an index: postings, document frequencies, corpus statistics by
+    scope.  Texts are broken once; the rest comes from the kept postings."""
+    posted = materialize(postings(docs, id_column, text, scope), "postings")
+    number = docs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.count(text).alias("_texts"))
+    length = posted.groupBy(*scope).agg(F.sum("tf").alias("_words"))
+    both = number.join(length, scope, "left") if scope else number.crossJoin(length)  # one row each
     return {
         "postings": posted,
         "df": posted.groupBy(*scope, "token").agg(F.count(F.lit(1)).alias("df")),
-        "stats": sizes.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl")),
+        "stats": both.select(*scope, "n", F.try_divide(F.coalesce("_words", F.lit(0)), F.col("_texts")).alias("avgdl")),
     }
 
 
