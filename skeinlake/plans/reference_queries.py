@@ -147,6 +147,23 @@ def project_noise(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "event_rows")).where(F.char_length("text") <= 500).select("row_no", T.noise_rule(F.col("text"), F.col("role")).alias("rule"))
 
 
+# All rules, over any role and length of text.
+_RULE = """CASE WHEN role IN ('user','assistant','thinking','system') THEN ''
+ WHEN role='tool_result' AND length(text)>500 AND len(list_filter(range(1, len(nums)-1), lambda i: nums[i+1]=nums[i]+1 AND nums[i+2]=nums[i]+2))>0 THEN 'file-readback'
+ WHEN regexp_matches(text,'^\\[tool_use (EDIT)\\]') THEN 'edit-payload' WHEN regexp_matches(text,'^\\[tool_use (NAVIGATION)\\]') THEN 'navigation-call'
+ WHEN regexp_matches(text,'[^ \\t-\\r]{120,}') AND (BLOBS) THEN 'binary-blob'
+ WHEN regexp_matches(text,'^\\[tool_result\\]\\s*(<system-reminder>|\\{"total_tokens")') THEN 'harness-bookkeeping' ELSE '' END""".replace(
+    "EDIT", T.EDIT_TOOLS).replace("NAVIGATION", T.NAVIGATION_TOOLS).replace("BLOBS", " OR ".join(f"regexp_matches(text,'{x}')" for x in T.BLOB_SHAPES))
+_RULED = f"""WITH s AS (SELECT row_no, text, role, CASE WHEN role='tool_result' AND length(text)>500 THEN regexp_extract_all(text, '(?:^|\\n|\\s)(\\d{{1,5}})(?:→|\\t| )', 1)[1:401]::INT[] ELSE []::INT[] END AS nums FROM event_rows),
+r AS (SELECT row_no, octet_length(encode(text)) AS b, {_RULE} AS rule FROM s)"""
+
+
+@query(_RULED + " SELECT row_no, rule FROM r")
+def project_noise_all(spark: SparkSession, d: str) -> DataFrame:
+    """project_noise over texts of any length; a row without text is no noise."""
+    return spread(table(spark, d, "event_rows")).select("row_no", T.noise_rule(F.col("text"), F.col("role")).alias("rule"))
+
+
 _S = T.SCRIPT_RANGES
 _COUNT = ", ".join(f"length(regexp_replace(text,'[^{r}]','','g')) AS {s}" for s, r in _S.items())
 
@@ -675,17 +692,6 @@ def noise_probe(spark: SparkSession, d: str) -> DataFrame:
     return Q.noise_probe(rows).drop("samples")
 
 
-# All rules, over any role and length of text.
-_RULE = """CASE WHEN role IN ('user','assistant','thinking','system') THEN ''
- WHEN role='tool_result' AND length(text)>500 AND len(list_filter(range(1, len(nums)-1), lambda i: nums[i+1]=nums[i]+1 AND nums[i+2]=nums[i]+2))>0 THEN 'file-readback'
- WHEN regexp_matches(text,'^\\[tool_use (EDIT)\\]') THEN 'edit-payload' WHEN regexp_matches(text,'^\\[tool_use (NAVIGATION)\\]') THEN 'navigation-call'
- WHEN regexp_matches(text,'[^ \\t-\\r]{120,}') AND (BLOBS) THEN 'binary-blob'
- WHEN regexp_matches(text,'^\\[tool_result\\]\\s*(<system-reminder>|\\{"total_tokens")') THEN 'harness-bookkeeping' ELSE '' END""".replace(
-    "EDIT", T.EDIT_TOOLS).replace("NAVIGATION", T.NAVIGATION_TOOLS).replace("BLOBS", " OR ".join(f"regexp_matches(text,'{x}')" for x in T.BLOB_SHAPES))
-_RULED = f"""WITH s AS (SELECT row_no, text, role, CASE WHEN role='tool_result' AND length(text)>500 THEN regexp_extract_all(text, '(?:^|\\n|\\s)(\\d{{1,5}})(?:→|\\t| )', 1)[1:401]::INT[] ELSE []::INT[] END AS nums FROM event_rows),
-r AS (SELECT row_no, octet_length(encode(text)) AS b, {_RULE} AS rule FROM s)"""
-
-
 @query(_RULED + " SELECT rule, count(*) AS n, sum(b)::BIGINT AS bytes, round(count(*)/(SELECT count(*) FROM r),6) AS part FROM r GROUP BY rule")
 def noise_probe_all(spark: SparkSession, d: str) -> DataFrame:
     """noise_probe over every event row, whatever its role; one without text is no noise and counts in the whole."""

@@ -1,7 +1,7 @@
 """Queries that do the whole job: rows that narrower forms leave out."""
 
+import duckdb
 import pytest
-from pyspark.sql import functions as F
 
 from skeinlake.plans import reference_queries as P
 
@@ -40,3 +40,28 @@ def test_noise_is_probed_over_every_event_row(spark, noise):
         n, b = want.get(rule, (0, 0))
         want[rule] = (n + 1, b + len((text or "").encode()))
     assert got == {rule: (n, b, round(n / len(NOISE), 6)) for rule, (n, b) in want.items()}
+
+
+def test_noise_rules_hold_for_texts_of_any_length(spark, noise):
+    want = {r[0]: r[4] for r in NOISE}
+    assert {r["row_no"]: r["rule"] for r in P.QUERIES["project_noise_all"](spark, noise).collect()} == want
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW event_rows AS SELECT * FROM read_parquet('{noise}/event_rows.parquet/*.parquet')")
+    assert dict(db.execute(P.SQL["project_noise_all"]).fetchall()) == want
+
+
+def test_runs_of_numbered_lines_by_brute_force(spark, tmp_path):
+    import random
+    import re
+
+    draw = random.Random(7)
+    texts = [draw.choice(["", "x "]) + "".join(f"{draw.choice([i, i, i, 7])}{draw.choice(['→', chr(9), ' ', ':'])}{'w' * draw.randint(1, 9)}{draw.choice([chr(10), ' ', ','])}" for i in range(draw.randint(60, 200))) for _ in range(40)]
+    texts += ["7 w\n" * k + "1 a\n2 b\n3 c\n" + "w" * 500 for k in (0, 397, 398, 399, 400, 401, 402)]
+
+    def run(t):
+        n = [int(m) for m in re.findall(r"(?:^|\n|\s)(\d{1,5})(?:→|\t| )", t)][:401]
+        return any(n[i + 1] == n[i] + 1 and n[i + 2] == n[i] + 2 for i in range(len(n) - 2))
+
+    spark.createDataFrame([(i, "tool_result", t) for i, t in enumerate(texts)], "row_no long, role string, text string").write.parquet(f"{tmp_path}/event_rows.parquet")
+    got = {r["row_no"]: r["rule"] == "file-readback" for r in P.QUERIES["project_noise_all"](spark, str(tmp_path)).collect()}
+    assert got == {i: len(t) > 500 and run(t) for i, t in enumerate(texts)} and len(set(got.values())) == 2
