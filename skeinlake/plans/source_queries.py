@@ -85,6 +85,27 @@ def ingest_notes(spark: SparkSession, d: str) -> DataFrame:
     return read.groupBy(src.alias("src")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.char_length(text)).alias("chars"))
 
 
+@query()
+def ingest_notes_all(spark: SparkSession, d: str) -> DataFrame:
+    """Every document a Markdown file, read by parse_notes: by source the files, their events, the
+    characters written and read back.  `own` files have front matter of their own; the parser takes it
+    off, which is `taken` characters, and changes nothing else.  A document without text is an `empty`
+    file: it has no event, so `files_read` is less by as many."""
+    path = _folder(spark, "notes")
+    docs = table(spark, d, "documents").select(F.lower(F.trim("source")).alias("src"), F.coalesce("text", F.lit("")).alias("text"))
+    # the source is in the path, as ids may be repeated
+    folder = F.concat(F.lit("s"), F.coalesce(F.hex("src"), F.lit("-")))
+    named = docs.select("src", "text", F.concat(folder, F.lit("/"), F.expr("uuid()"), F.lit(".md")).alias("name"))
+    written = S.write_files(named, path, "name", "text", {"src": F.col("src"), "own": S.front_matter(F.col("text"))[1] != F.col("text"), "chars": F.char_length("text")})
+    put = written.groupBy("src").agg(F.count(F.lit(1)).alias("files"), F.count_if(F.col("chars") == 0).alias("empty"), F.count_if("own").alias("own"), F.sum("chars").alias("chars_written"))
+    read = S.parse_notes(spark, path)
+    code = F.regexp_extract("file_path", r"/s([0-9A-F]*|-)/[^/]+$", 1)
+    src = F.when(code != "-", F.decode(F.unhex(code), "UTF-8"))
+    got = read.groupBy(src.alias("src")).agg(F.count_distinct("file_path").alias("files_read"), F.count(F.lit(1)).alias("events"), F.sum(F.char_length("text")).alias("chars_read"))
+    both = put.join(got.withColumnRenamed("src", "_src"), F.col("src").eqNullSafe(F.col("_src")), "left").na.fill(0, ["files_read", "events", "chars_read"])
+    return both.select("src", "files", "empty", "files_read", "own", "events", "chars_written", "chars_read", (F.col("chars_written") - F.col("chars_read")).alias("taken"))
+
+
 @query("SELECT bank, count(*) AS n FROM parsed_files WHERE bank IN ('mill','fern','dune') GROUP BY bank")
 def partition_pruning(spark: SparkSession, d: str) -> DataFrame:
     """Written by bank, three banks overwritten, read with a filter that prunes partitions."""

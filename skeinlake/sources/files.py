@@ -13,6 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from skeinlake.functions import text as T
+from skeinlake.session import materialize
 
 EVENT_FIELDS = ["uid", "session_uuid", "file_path", "seq", "role", "ts", "text", "source", "tier", "kind", "cwd"]
 
@@ -227,6 +228,31 @@ def parse_notes(spark: SparkSession, paths: str | list[str], source: str = "vaul
     return _events(parts.withColumns({"role": F.lit(tier), "cwd": F.col("file_path")}), source, F.lit(tier))
 
 
+def write_files(rows: DataFrame, path: str, name: str, text: str, keep: dict[str, Column]) -> DataFrame:
+    """Writes each row's text, as it is, to the file of that name below the folder `path`,
+    which all executors share; gives the columns of `keep` of the rows that were written."""
+    where = path if "://" in path else "file://" + path
+    wide = rows.select(F.col(name).alias("_name"), F.col(text).alias("_text"), *[c.alias(k) for k, c in keep.items()])
+    kept = wide.drop("_name", "_text").schema
+
+    def run(batches):
+        from pyarrow import fs
+
+        to, root = fs.FileSystem.from_uri(where)
+        made = set()
+        for batch in batches:
+            for n, t in zip(batch.column("_name").to_pylist(), batch.column("_text").to_pylist()):
+                folder = f"{root}/{n}".rsplit("/", 1)[0]
+                if folder not in made:
+                    to.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with to.open_output_stream(f"{root}/{n}") as out:
+                    out.write(t.encode())
+            yield batch.select(kept.names)
+
+    return materialize(wide.mapInArrow(run, kept), "written")
+
+
 def read_around(lines: DataFrame, path: str, seq: int, before: int, after: int) -> DataFrame:
     return lines.where((F.col("file_path") == path) & F.col("seq").between(seq - before, seq + after))
 

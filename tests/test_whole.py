@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from skeinlake.plans import reference_queries as P
+from skeinlake.plans import reference_queries as P, source_queries as N
 
 
 def numbered(n=60):
@@ -65,3 +65,42 @@ def test_runs_of_numbered_lines_by_brute_force(spark, tmp_path):
     spark.createDataFrame([(i, "tool_result", t) for i, t in enumerate(texts)], "row_no long, role string, text string").write.parquet(f"{tmp_path}/event_rows.parquet")
     got = {r["row_no"]: r["rule"] == "file-readback" for r in P.QUERIES["project_noise_all"](spark, str(tmp_path)).collect()}
     assert got == {i: len(t) > 500 and run(t) for i, t in enumerate(texts)} and len(set(got.values())) == 2
+
+
+HEAD = "---\ndate: 2025-01-02\nsrc: x\n---\n"
+NOTES = [  # source, text, characters taken by the parser, chunks
+    ("a", "plain", 0, 1),
+    ("A ", HEAD + "body", len(HEAD), 1),
+    ("a", "line\r\nline\r\n", 0, 1),
+    ("a", "ends so\n\n", 0, 1),
+    ("b/é", "---\nnot closed", 0, 1),
+    ("b/é", "w" * 31_000, 0, 3),
+    ("b/é", HEAD + "## one\n" + "x" * 9_000 + "\n## two\n" + "y" * 9_000, len(HEAD), 2),
+    (None, "   ", 0, 1),
+    (None, None, 0, 0),
+    ("c", "", 0, 0),
+]
+
+
+def test_every_document_is_read_as_a_note(spark, tmp_path):
+    rows = [(7, text, source) for source, text, _, _ in NOTES]  # ids may be repeated
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["src"]: tuple(r)[1:] for r in N.QUERIES["ingest_notes_all"](spark, str(tmp_path)).collect()}
+    want = {}
+    for source, text, taken, chunks in NOTES:
+        src, n = source and source.strip().lower(), len(text or "")
+        was = want.get(src, (0,) * 8)
+        want[src] = tuple(x + y for x, y in zip(was, (1, n == 0, n > 0, taken > 0, chunks, n, n - taken, taken)))
+    assert got == want
+
+
+def test_all_documents_of_the_table_come_back(spark, data):
+    docs = duckdb.execute(f"SELECT text FROM read_parquet('{data}/documents.parquet')").fetchall()
+    import re
+
+    bodies = [re.sub(r"(?s)\A---\r?\n(.*?)\r?\n---[ \t]*(?:\r?\n|\Z)", "", t or "", count=1) for (t,) in docs]
+    rows = N.QUERIES["ingest_notes_all"](spark, data).collect()
+    assert sum(r["files"] for r in rows) == len(docs) and sum(r["files_read"] for r in rows) == sum(bool(t) for (t,) in docs)
+    assert sum(r["chars_written"] for r in rows) == sum(len(t or "") for (t,) in docs)
+    assert sum(r["chars_read"] for r in rows) == sum(map(len, bodies)) < sum(r["chars_written"] for r in rows)
+    assert sum(r["events"] for r in rows) >= sum(r["files_read"] for r in rows)
