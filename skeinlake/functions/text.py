@@ -53,6 +53,8 @@ SCRIPT_RANGES = {
     "indic": r"\x{0900}-\x{0DFF}",
     "sea": r"\x{0E80}-\x{0EFF}\x{1000}-\x{109F}\x{1780}-\x{17FF}",
 }
+# Scripts whose words have no gaps between them.
+GAPLESS = SCRIPT_RANGES["thai"] + SCRIPT_RANGES["cjk"] + SCRIPT_RANGES["sea"]
 # Classes of languages in the order of reports.
 LANGUAGE_CLASSES = ["th", "th+en", "en", "latin", "zh/ja", "ko", "cyrillic", "arabic", "indic", "lo/km/my", "other", "none"]
 UUID = r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}"
@@ -324,6 +326,17 @@ def tokens(text: Column, longest: int = 128) -> Column:
     return F.filter(found, lambda t: F.char_length(t) <= longest)
 
 
+def has_gapless(text: Column) -> Column:
+    return text.rlike(f"[{GAPLESS}]")
+
+
+def char_ngrams(text: Column, n: int = 3) -> Column:
+    """All runs of n characters of a text without its white space."""
+    bare = F.regexp_replace(text, r"[\s\x0B\p{Z}]+", "")
+    last = F.char_length(bare) - n + 1
+    return F.when(last >= 1, F.transform(F.sequence(F.lit(1), F.greatest(last, F.lit(1))), lambda i: F.substr(bare, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+
+
 def thai_tokens(text: Column) -> Column:
     """Words of a run of Thai letters, by the JVM's dictionary of Thai words."""
     return F.flatten(F.sentences(text, F.lit("th"), F.lit("TH")))

@@ -676,6 +676,25 @@ def first_word_overlap(spark: SparkSession, d: str) -> DataFrame:
     return both.select("session_uuid", F.round(R.jaccard(F.col("a"), F.col("b")), 6).alias("overlap"))
 
 
+_SIDED = """WITH x AS (SELECT session_uuid, text, regexp_replace(lower(role), '[^\\p{L}]+', '', 'g') AS r FROM event_rows WHERE text <> '' AND session_uuid IS NOT NULL),
+y AS (SELECT session_uuid, text, r IN ('assistant','agent','model') AS answers, regexp_matches(text, '[GAPLESS]') AS g FROM x WHERE r IN ('user','human','assistant','agent','model')),
+s AS (SELECT session_uuid, bool_or(g) AS grams FROM y GROUP BY 1 HAVING bool_or(answers) AND NOT bool_and(answers)),
+w AS (SELECT session_uuid, answers, grams, text, regexp_replace(text, '[\\s\\x0B\\p{Z}]+', '', 'g') AS bare FROM y JOIN s USING (session_uuid)),
+t AS (SELECT DISTINCT session_uuid, answers, unnest(CASE WHEN grams THEN list_transform(range(1, length(bare)-1), lambda i: substring(bare, i::INT, 3)) ELSE TOKENS END) AS token FROM w),
+u AS (SELECT session_uuid, token, count(*) AS sides FROM t GROUP BY ALL)""".replace("GAPLESS", T.GAPLESS).replace("TOKENS", _TOKENS)
+
+
+@query(_SIDED + " SELECT session_uuid, round(count_if(sides=2)/count(*),6) AS overlap FROM u GROUP BY session_uuid")
+def word_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Jaccard overlap of a session's user and assistant texts, by all their words; by 3-grams of both
+    sides where any of its texts has letters of a script without word gaps.  Roles are taken in any spelling."""
+    rows = spread(table(spark, d, "event_rows")).where("text <> '' AND session_uuid IS NOT NULL")
+    role = F.regexp_replace(F.lower("role"), r"[^\p{L}]+", "")
+    said = rows.select("session_uuid", "text", role.alias("_r")).where(F.col("_r").isin("user", "human", "assistant", "agent", "model"))
+    sided = said.select("session_uuid", "text", F.col("_r").isin("assistant", "agent", "model").alias("side"))
+    return R.text_overlap(sided, "session_uuid", "side", "text").withColumn("overlap", F.round("overlap", 6))
+
+
 @query()
 def mean_interval(spark: SparkSession, d: str) -> DataFrame:
     values = table(spark, d, "embeddings").select("vec_id", F.get("embedding", F.lit(0)).cast("double").alias("x"))

@@ -14,7 +14,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skeinlake.functions.text import dot, tokens
+from skeinlake.functions.text import char_ngrams, dot, has_gapless, tokens
 from skeinlake.session import materialize
 
 K1, B, LONGEST = 1.2, 0.75, 128
@@ -194,6 +194,17 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b))
 
 
+def text_overlap(texts: DataFrame, key: str, side: str, text: str) -> DataFrame:
+    """key, overlap: Jaccard of the sets of all words of the texts of the two sides (a boolean), of their
+    3-grams where a text of the key has letters of a script without word gaps.  Sets are rows, not lists."""
+    keyed = texts.groupBy(key).agg(F.max(has_gapless(F.col(text))).alias("_grams"), F.max(side).alias("_any"), F.min(side).alias("_all"))
+    both = keyed.where(F.col("_any") & ~F.col("_all")).select(key, "_grams")
+    rows = texts.join(both, key)
+    words = F.when(F.col("_grams"), char_ngrams(F.col(text))).otherwise(tokens(F.col(text), 2**31 - 1))
+    found = rows.select(key, side, F.explode(words).alias("_w")).groupBy(key, "_w").agg((F.min(side) != F.max(side)).alias("_both"))
+    return found.groupBy(key).agg((F.count_if("_both") / F.count(F.lit(1))).alias("overlap"))
+
+
 def bootstrap_interval(values: DataFrame, value: str, resamples: int = 2000, seed: int = 7) -> DataFrame:
     """Mean and its 95 % interval by Poisson resampling: each row weighs a Poisson
     count that its hash decides, so it is one pass and repeatable."""

@@ -104,3 +104,16 @@ def test_all_documents_of_the_table_come_back(spark, data):
     assert sum(r["chars_written"] for r in rows) == sum(len(t or "") for (t,) in docs)
     assert sum(r["chars_read"] for r in rows) == sum(map(len, bodies)) < sum(r["chars_written"] for r in rows)
     assert sum(r["events"] for r in rows) >= sum(r["files_read"] for r in rows)
+
+
+def test_overlap_takes_all_words_and_grams(spark, tmp_path):
+    long = "q" * 200
+    rows = [
+        ("s", "user", "alpha beta " + long), ("s", " Human", "gamma"), ("s", "ASSISTANT ", "delta Beta"), ("s", "model", "gamma " + long), ("s", "tool_use", "alpha"),
+        ("t", "user", "สวัสดี ครับ ab"), ("t", "assistant", "สวัสดีค่ะ"), ("one", "user", "alone"), (None, "user", "x"), (None, "assistant", "x"), ("z", "user", "a b"), ("z", "agent", "!"),
+    ]
+    spark.createDataFrame(rows, "session_uuid string, role string, text string").write.parquet(f"{tmp_path}/event_rows.parquet")
+    got = {r["session_uuid"]: r["overlap"] for r in P.QUERIES["word_overlap"](spark, str(tmp_path)).collect()}
+    grams = lambda x: {x[i : i + 3] for i in range(len(x) - 2)}
+    a, b = grams("สวัสดีครับab"), grams("สวัสดีค่ะ")
+    assert got == {"s": round(3 / 5, 6), "t": round(len(a & b) / len(a | b), 6), "z": 0.0}
