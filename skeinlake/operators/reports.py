@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skeinlake.functions.text import LANGUAGE_CLASSES, channel_facets, is_harness_turn, noise_rule
+from skeinlake.functions.text import LANGUAGE_CLASSES, channel_facets, has_gapless, is_harness_turn, noise_rule, squeeze
 from skeinlake.operators.sessions import nonempty
 from skeinlake.session import materialize
 
@@ -133,13 +133,19 @@ def current_session(found: DataFrame, files_of: Column, last_event: str) -> Data
 
 
 def known_item_queries(docs: DataFrame, id_column: str, text: str, n_from: int = 8, n_to: int = 12, seed: int = 0) -> DataFrame:
-    """For each text long enough a span of its words, chosen by a seeded hash: id, query."""
+    """For each text long enough a span of its words, chosen by a seeded hash: id, query.
+    A text of at least 60 characters with letters of a script without word gaps gives 32 characters."""
     words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
     h = lambda salt: F.xxhash64(F.lit(seed), F.lit(salt), F.col(id_column))
     size = F.pmod(h("size"), F.lit(n_to - n_from + 1)) + n_from
-    rows = docs.select(id_column, words.alias("_w"), size.cast("int").alias("_n")).where(F.size("_w") >= F.col("_n") + 1)
+    whole = squeeze(F.col(text))
+    rows = docs.select(id_column, words.alias("_w"), size.cast("int").alias("_n"), whole.alias("_t"), (has_gapless(F.col(text)) & (F.char_length(whole) >= 60)).alias("_g"))
+    rows = rows.where(F.col("_g") | (F.size("_w") >= F.col("_n") + 1))
     start = F.pmod(h("start"), F.size("_w") - F.col("_n") + 1).cast("int") + 1
-    return rows.select(id_column, F.array_join(F.slice("_w", start, F.col("_n")), " ").alias("query"))
+    # from the 11th character on, at the latest 45 before the end
+    at = F.pmod(h("start"), F.greatest(F.lit(11), F.char_length("_t") - 45) - 9).cast("int") + 11
+    window = F.substr("_t", at, F.lit(32))
+    return rows.select(id_column, F.when(F.col("_g"), window).otherwise(F.array_join(F.slice("_w", start, F.col("_n")), " ")).alias("query"))
 
 
 def banded_means(rows: DataFrame, band_by: str, edges: list[float], value: str) -> DataFrame:

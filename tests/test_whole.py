@@ -3,6 +3,7 @@
 import duckdb
 import pytest
 
+from skeinlake.operators import reports as Q
 from skeinlake.plans import reference_queries as P, source_queries as N
 
 
@@ -117,3 +118,16 @@ def test_overlap_takes_all_words_and_grams(spark, tmp_path):
     grams = lambda x: {x[i : i + 3] for i in range(len(x) - 2)}
     a, b = grams("สวัสดีครับab"), grams("สวัสดีค่ะ")
     assert got == {"s": round(3 / 5, 6), "t": round(len(a & b) / len(a | b), 6), "z": 0.0}
+
+
+def test_scripts_without_word_gaps_are_asked_for_by_characters(spark):
+    texts = {1: "ก" * 30 + "ข" * 40, 2: " ".join(["สวัสดีครับ"] * 20), 3: "漢字" * 50, 4: "ก" * 20, 5: "few words", 6: "ข" * 60}
+    asked = {}
+    for seed in range(5):
+        rows = Q.known_item_queries(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", "text", seed=seed).collect()
+        got = {r["id"]: r["query"] for r in rows}
+        assert set(got) == {1, 2, 3, 6}
+        for i, q in got.items():
+            assert len(q) == 32 and q in texts[i] and 10 <= texts[i].rindex(q)
+            asked.setdefault(i, set()).add(q)
+    assert len(asked[2]) > 1
