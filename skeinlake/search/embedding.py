@@ -30,15 +30,29 @@ def backlog(events: DataFrame, vectors: DataFrame, key: str, least_chars: int =
     return events.where(F.char_length("text") >= least_chars).join(vectors.select(key), key, "left_anti")
 
 
+def pooled(parts: np.ndarray, windows: list[list[str]]) -> np.ndarray:
+    """A vector a text: the mean of those of its windows, weighted by their characters."""
+    if all(len(w) == 1 for w in windows):
+        return parts
+    chars = np.array([len(w) for text in windows for w in text], np.float32)
+    starts = np.cumsum([0, *[len(w) for w in windows[:-1]]])
+    sums = np.add.reduceat(parts * chars[:, None], starts, axis=0)
+    return sums / np.maximum(np.add.reduceat(chars, starts), 1)[:, None]
+
+
 def embed(rows: DataFrame, key: str, provider: Provider, model: str, most_chars: int = 2000) -> DataFrame:
     """key, embedding (unit length), model, dim.  A batch whose provider fails gives
-    nothing and is found again by the next backlog; widths that differ are an error."""
+    nothing and is found again by the next backlog; widths that differ are an error.
+    The provider gets texts of at most most_chars: a longer text is embedded in windows
+    of that size, whose vectors are averaged by their characters."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         width = None
         for frame in frames:
             try:
-                vectors = np.asarray(provider([t[:most_chars] for t in frame["text"]]), np.float32)
+                windows = [[t[i : i + most_chars] for i in range(0, max(len(t), 1), most_chars)] for t in frame["text"]]
+                parts = np.asarray(provider([w for text in windows for w in text]), np.float32)
+                vectors = pooled(parts, windows)
             except Exception:
                 continue
             if width not in (None, vectors.shape[1]):

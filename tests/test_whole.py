@@ -5,6 +5,7 @@ import pytest
 
 from skeinlake.operators import reports as Q
 from skeinlake.plans import reference_queries as P, source_queries as N
+from skeinlake.search import embedding as E
 
 
 def numbered(n=60):
@@ -131,3 +132,14 @@ def test_scripts_without_word_gaps_are_asked_for_by_characters(spark):
             assert len(q) == 32 and q in texts[i] and 10 <= texts[i].rindex(q)
             asked.setdefault(i, set()).add(q)
     assert len(asked[2]) > 1
+
+
+def test_vectors_rest_on_whole_texts(spark):
+    import numpy as np
+
+    texts = {1: "a " * 1_000, 2: "a " * 1_000 + "b " * 1_000 + "c " * 500, 3: "short"}
+    seen = lambda ts: np.array([[t.count(c) / len(t) for c in "abc"] for t in ts])
+    rows = E.embed(spark.createDataFrame(list(texts.items()), "id long, text string"), "id", seen, "m").collect()
+    got = {r["id"]: r["embedding"] for r in rows}
+    for i, v in ((1, [1, 0, 0]), (2, [1_000, 1_000, 500]), (3, [0, 0, 0])):
+        assert np.allclose(got[i], np.array(v) / (np.linalg.norm(v) or 1), atol=1e-6)
