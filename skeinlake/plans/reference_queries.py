@@ -319,6 +319,16 @@ def neighbours(spark: SparkSession, d: str) -> DataFrame:
     return S.neighbours(files.where("file_no % 7 = 0"), files, ["repo_key"], "at", "file_no", 3)
 
 
+@query(f"""WITH f AS ({_STARTS}), t AS (SELECT * FROM f),
+b AS (SELECT t.file_no, 'before' AS side, f.file_no AS neighbour, row_number() OVER (PARTITION BY t.file_no ORDER BY f.at DESC, f.file_no DESC)::INT AS rank FROM t JOIN f ON t.repo_key=f.repo_key AND f.at < t.at),
+a AS (SELECT t.file_no, 'after' AS side, f.file_no AS neighbour, row_number() OVER (PARTITION BY t.file_no ORDER BY f.at, f.file_no)::INT AS rank FROM t JOIN f ON t.repo_key=f.repo_key AND f.at > t.at)
+SELECT * FROM b WHERE rank<=3 UNION ALL SELECT * FROM a WHERE rank<=3""")
+def neighbours_all(spark: SparkSession, d: str) -> DataFrame:
+    """neighbours of every session file."""
+    files = table(spark, d, "parsed_files").where("tier = 'session' AND repo_key IS NOT NULL").select("file_no", "repo_key", F.col("loaded_at").alias("at"))
+    return S.neighbours(files, files, ["repo_key"], "at", "file_no", 3)
+
+
 @query("""SELECT c.c_mktsegment, count(DISTINCT c.c_custkey) AS customers, count(o.o_orderkey) AS urgent FROM customer c LEFT JOIN orders o ON c.c_custkey=o.o_custkey AND o.o_orderpriority='1-URGENT' GROUP BY 1""")
 def join_left_residual(spark: SparkSession, d: str) -> DataFrame:
     customer, orders = table(spark, d, "customer"), table(spark, d, "orders")
@@ -667,6 +677,16 @@ def method_contingency(spark: SparkSession, d: str) -> DataFrame:
     return R.contingency(pair(docs.where(F.lower("text").contains("the"))), pair(docs.where(F.char_length("text") > 500)), pair(docs.where("doc_id % 10 = 0")), "q", "item")
 
 
+@query("""WITH w AS (SELECT doc_id AS q, doc_id AS item FROM documents), a AS (SELECT doc_id FROM documents WHERE contains(lower(text),'the')), b AS (SELECT doc_id FROM documents WHERE length(text) > 500)
+SELECT count_if(a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL)::BIGINT AS hit_both, count_if(a.doc_id IS NOT NULL AND b.doc_id IS NULL)::BIGINT AS only_a, count_if(a.doc_id IS NULL AND b.doc_id IS NOT NULL)::BIGINT AS only_b, count_if(a.doc_id IS NULL AND b.doc_id IS NULL)::BIGINT AS hit_none
+FROM w LEFT JOIN a ON a.doc_id=item LEFT JOIN b ON b.doc_id=item""")
+def method_contingency_all(spark: SparkSession, d: str) -> DataFrame:
+    """method_contingency with every document as a known item."""
+    docs = table(spark, d, "documents")
+    pair = lambda df: df.select(F.col("doc_id").alias("q"), F.col("doc_id").alias("item"))
+    return R.contingency(pair(docs.where(F.lower("text").contains("the"))), pair(docs.where(F.char_length("text") > 500)), pair(docs), "q", "item")
+
+
 @query(f"""WITH t AS (SELECT session_uuid, list_distinct(list({_TOKENS}[1])) AS w FROM event_rows WHERE text <> '' AND role='user' GROUP BY 1), u AS (SELECT session_uuid, list_distinct(list({_TOKENS}[1])) AS w FROM event_rows WHERE text <> '' AND role='assistant' GROUP BY 1)
 SELECT session_uuid, round(len(list_intersect(list_filter(t.w, lambda x: x IS NOT NULL), u.w)) / len(list_filter(list_distinct(list_concat(t.w, u.w)), lambda x: x IS NOT NULL)),6) AS overlap FROM t JOIN u USING (session_uuid) WHERE len(list_filter(list_distinct(list_concat(t.w, u.w)), lambda x: x IS NOT NULL)) > 0""")
 def first_word_overlap(spark: SparkSession, d: str) -> DataFrame:

@@ -143,3 +143,10 @@ def test_vectors_rest_on_whole_texts(spark):
     got = {r["id"]: r["embedding"] for r in rows}
     for i, v in ((1, [1, 0, 0]), (2, [1_000, 1_000, 500]), (3, [0, 0, 0])):
         assert np.allclose(got[i], np.array(v) / (np.linalg.norm(v) or 1), atol=1e-6)
+
+
+def test_every_file_and_document_is_a_target(spark, data):
+    n = duckdb.execute(f"SELECT count(*) FROM read_parquet('{data}/documents.parquet')").fetchone()[0]
+    assert sum(P.QUERIES["method_contingency_all"](spark, data).first()) == n
+    files = duckdb.execute(f"SELECT file_no FROM (SELECT file_no, count(*) OVER (PARTITION BY repo_key) AS c, min(loaded_at) OVER (PARTITION BY repo_key) AS a, max(loaded_at) OVER (PARTITION BY repo_key) AS b FROM read_parquet('{data}/parsed_files.parquet') WHERE tier = 'session' AND repo_key IS NOT NULL) WHERE a < b").fetchall()
+    assert {r["file_no"] for r in P.QUERIES["neighbours_all"](spark, data).select("file_no").distinct().collect()} == {f for (f,) in files}
