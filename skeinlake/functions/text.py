@@ -236,7 +236,8 @@ def ephemeral_hint(text: Column) -> Column:
 
 
 def has_numbered_lines(text: Column) -> Column:
-    """Three numbers in a row that count up by one, as in a listing of a file."""
+    """Three numbers in a row that count up by one, as in a listing of a file, among
+    the first 401 that begin a line or stand apart (the bound is part of the rule)."""
     found = F.slice(F.regexp_extract_all(text, F.lit(r"(?:^|\n|\s)(\d{1,5})(?:→|\t| )"), 1), 1, 401)
     numbers = F.transform(found, lambda x: x.cast("int"))
     ascending = F.exists(
@@ -360,18 +361,19 @@ def duration_label(ms: Column) -> Column:
     )
 
 
-# Directories whose next segment names a project inside a repository.
-PROJECT_FOLDERS = ["lab", "soul-brews-studio", "learn", "demos"]
+#: Directories whose next segment names a project inside a repository, where the caller names no others.
+PROJECT_FOLDERS = ["lab", "learn", "demos"]
 
 
-def location_of(cwd: Column, forges: list[str] = FORGES) -> Column:
+def location_of(cwd: Column, forges: list[str] = FORGES, folders: list[str] = PROJECT_FOLDERS) -> Column:
     """Struct (org, repo, project, worktree, dir) of a file's path in a repository;
-    dir is below the worktree and without the file."""
+    dir is below the worktree and without the file.  `folders` are the directories
+    below which each one is a project of its own."""
     hosts = "|".join(h.replace(".", r"\.") for h in forges)
     key = rf"(?:^|/)(?:{hosts})/([^/]+)/([^/]+)"
     context = context_of(cwd, forges)
     below = context["subpath"]
-    named = F.regexp_extract(below, rf"(?:^|/)(?:{'|'.join(PROJECT_FOLDERS)})/([^/]+)", 1)
+    named = F.regexp_extract(below, rf"(?:^|/)(?:{'|'.join(folders)})/([^/]+)", 1)
     incubated = F.regexp_extract(below, r"(?:^|/)incubate/[^/]+/([^/]+)", 1)
     inner = F.regexp_replace(below, r"^(?:wt|agents)/[^/]+/", "")
     folder = F.when(context["worktree"] != "", inner).otherwise(below)

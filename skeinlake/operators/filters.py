@@ -11,7 +11,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 TRANSCRIPT_TIERS = ("session", "subagent", "workflow_agent")
 ROLE_GROUPS = {"chat": ["user", "assistant"], "tool": ["tool_use", "tool_result"], "other": ["system", "thinking", "reasoning", "note", "memory"]}
-#: Words that say nothing of a query's subject.
+# Words that say nothing of a query's subject.  They decide which words of a query count as its
+# content, so results equal the published ones only with this list.
 STOP_WORDS = set(
     "a an and are as at be by can did do does for from had has have how i if in is it its just me my no not of on or our so "
     "that the their them then there this to was we were what when where which who why will with you your".split()

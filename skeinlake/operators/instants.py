@@ -5,14 +5,15 @@ is).  A mask is mapped to a parser once; all strings of one mask in a batch are
 then converted together, as a matrix of code points.  Strings without a zone are
 local time of their source and go through tables of zone transitions.
 
-The usual form YYYY-MM-DDTHH:MM:SS.mmmZ never leaves the JVM.
+The usual form YYYY-MM-DDTHH:MM:SS.mmmZ never leaves the JVM.  Fractions may have any
+number of digits, strings any length; a mask that fits no form is looked at once.
 """
 
 from __future__ import annotations
 
 import re
 from dataclasses import dataclass
-from datetime import datetime, timezone
+from datetime import datetime, timedelta, timezone
 from functools import lru_cache
 from zoneinfo import ZoneInfo
 
@@ -37,7 +38,7 @@ OTHER_DIGITS = "".join(chr(zero + i) for zero in (0x0E50, 0x0660, 0x06F0, 0x0966
 BUDDHIST_FROM, BUDDHIST_AHEAD = 2400, 543
 
 _TAIL = r"(?P<gap> ?)(?:(?P<sign>[+-])(?P<oh>99):?(?P<om>99)?(?:\[(?P<inner>[^\]]*)\])?|(?P<zone>a[a/_+\-9]*)|\[(?P<boxed>[^\]]*)\])?"
-_CLOCK = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9{1,12}))?)?"
+_CLOCK = r"(?P<h>99?):(?P<mi>99)(?::(?P<s>99)(?:[.,](?P<f>9+))?)?"
 #: Grammar of the masks.
 FORMS = [
     re.compile(rf"^(?P<y>9999)[-/.](?P<mo>99)[-/.](?P<d>99)(?:(?P<sep>a)|,? +){_CLOCK}(?: (?P<ap>aa)(?![a/]))?{_TAIL}$"),
@@ -47,6 +48,9 @@ FORMS = [
     re.compile(rf"^(?P<d>99?)\.(?P<mo>99?)\.(?P<y>9999),? {_CLOCK}{_TAIL}$"),
     re.compile(rf"^(?P<p>99?)/(?P<q>99?)/(?P<y>9999),? {_CLOCK}(?: (?P<ap>aa)(?![a/]))?{_TAIL}$"),
 ]
+#: Years of the tables of zone transitions, in seconds; after the last one the rules repeat with the calendar's cycle of 400 years.
+_FIRST, _LAST = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (1970, 2438))
+CYCLE = 146_097 * 86_400
 _EPOCH = re.compile(r"^(?P<w>9{10}|9{13}|9{16}|9{19})(?:\.(?P<f>9+))?$")
 
 
@@ -54,7 +58,12 @@ _EPOCH = re.compile(r"^(?P<w>9{10}|9{13}|9{16}|9{19})(?:\.(?P<f>9+))?$")
 class ZoneTable:
     """Offsets (seconds) of a zone between its changes, and for each change the
     wall-clock second from which the later offset holds for a local time: a time
-    that occurs twice means the first, a skipped one has the offset before."""
+    that occurs twice means the first, a skipped one has the offset before.
+
+    The table covers the years from 1970 to 2437.  Later years follow the
+    zone's standing rule, which the calendar repeats every 400 years; a later time is
+    looked up in the year of the table that many cycles before.  Earlier ones are
+    asked of the zone database one by one."""
 
     name: str
     version: str
@@ -62,7 +71,13 @@ class ZoneTable:
     offsets: np.ndarray
 
     def offset_of_local(self, wall: np.ndarray) -> np.ndarray:
-        return self.offsets[np.searchsorted(self.from_local, wall, side="right")]
+        folded = np.where(wall >= _LAST, _LAST - CYCLE + (wall - _LAST) % CYCLE, wall)
+        found = self.offsets[np.searchsorted(self.from_local, folded, side="right")]
+        zone = ZoneInfo(self.name)
+        for i in np.flatnonzero(wall < _FIRST):
+            local = datetime(1970, 1, 1) + timedelta(seconds=int(wall[i]))
+            found[i] = int(local.replace(tzinfo=zone).utcoffset().total_seconds())
+        return found
 
 
 def tz_version() -> str:
@@ -75,7 +90,7 @@ def tz_version() -> str:
 
 
 @lru_cache(maxsize=1000)
-def zone_table(name: str, first_year: int = 1970, last_year: int = 2100) -> ZoneTable | None:
+def zone_table(name: str) -> ZoneTable | None:
     """The transitions of a zone by weekly probes and bisection; None if there is
     no such zone."""
     try:
@@ -83,7 +98,7 @@ def zone_table(name: str, first_year: int = 1970, last_year: int = 2100) -> Zone
     except Exception:
         return None
     offset = lambda t: int(datetime.fromtimestamp(t, timezone.utc).astimezone(zone).utcoffset().total_seconds())
-    at, end = (int(datetime(y, 1, 1, tzinfo=timezone.utc).timestamp()) for y in (first_year, last_year))
+    at, end = _FIRST, _LAST
     offsets, walls, week = [offset(at)], [], 7 * 86400
     while at < end:
         if (after := offset(at + week)) != offsets[-1]:
@@ -97,10 +112,13 @@ def zone_table(name: str, first_year: int = 1970, last_year: int = 2100) -> Zone
     return ZoneTable(name, tz_version(), np.array(walls, dtype=np.int64), np.array(offsets, dtype=np.int64))
 
 
-@lru_cache(maxsize=10_000)
 def parser_of(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     """What a mask means: ('epoch' or 'clock', spans of its fields); None if it
-    names no instant."""
+    names no instant.  Masks of a usual length are remembered."""
+    return _remembered(mask) if len(mask) <= 200 else _parsed(mask)
+
+
+def _parsed(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     if m := _EPOCH.match(mask):
         return "epoch", {k: m.span(k) for k in m.groupdict() if m[k] is not None}
     for form in FORMS:
@@ -109,6 +127,10 @@ def parser_of(mask: str) -> tuple[str, dict[str, tuple[int, int]]] | None:
     return None
 
 
+_remembered = lru_cache(maxsize=10_000)(_parsed)
+parser_of.cache_clear, parser_of.cache_info = _remembered.cache_clear, _remembered.cache_info
+
+
 def _number(codes: np.ndarray, span: tuple[int, int] | None, default: int = 0) -> np.ndarray:
     if span is None:
         return np.full(len(codes), default, dtype=np.int64)
@@ -188,6 +210,10 @@ def _clocks(values: np.ndarray, codes: np.ndarray, spans: dict, zones: np.ndarra
     return (wall - offset) * 1_000_000 + _micro(codes, spans.get("f")), ok
 
 
+#: Characters of strings of one mask that are laid out as one matrix; bounds memory only.
+MATRIX_CHARS = 4_000_000
+
+
 def convert(values: pd.Series, masks: pd.Series, zones: pd.Series) -> pd.Series:
     """epoch_us of each string, null where it names no instant.  All strings of a
     mask are converted at once."""
@@ -198,13 +224,13 @@ def convert(values: pd.Series, masks: pd.Series, zones: pd.Series) -> pd.Series:
     for i, mask in enumerate(kinds):
         if (parser := parser_of(mask)) is None:
             continue
-        own = np.flatnonzero(places == i)
-        if parser[0] == "epoch":
+        every, step = np.flatnonzero(places == i), max(1, MATRIX_CHARS // len(mask))
+        for own in (every[at : at + step] for at in range(0, len(every), step)):
             codes = np.array(list(text[own]), dtype=f"U{len(mask)}").view(np.uint32).reshape(len(own), len(mask))
-            out[own], good[own] = _epochs(codes, parser[1]), True
-        else:
-            codes = np.array(list(text[own]), dtype=f"U{len(mask)}").view(np.uint32).reshape(len(own), len(mask))
-            out[own], good[own] = _clocks(text[own], codes, parser[1], zone[own])
+            if parser[0] == "epoch":
+                out[own], good[own] = _epochs(codes, parser[1]), True
+            else:
+                out[own], good[own] = _clocks(text[own], codes, parser[1], zone[own])
     return pd.Series(pd.array(np.where(good, out, 0), dtype="Int64")).mask(~good)
 
 
@@ -227,11 +253,11 @@ def to_epoch_us(value: Column, zone: Column) -> Column:
     """The instant a string names in microseconds since the epoch, else null
     (null, empty, words, impossible dates).  `zone` is the name of the zone in
     which strings without one are local time; where it is null or unknown they
-    give null.  Longer strings than any form (over 80 characters) name none."""
+    give null.  Strings of the usual form reach Python as null."""
     usual = F.unix_micros(F.try_to_timestamp(value, F.lit("yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")))
-    plain = plain_digits(value)
-    odd = F.when(F.char_length(value).between(1, 80), plain)
-    return F.when(value.rlike(USUAL), usual).otherwise(_convert(odd, shape_mask(odd), zone))
+    is_usual, plain = value.rlike(USUAL), plain_digits(value)
+    odd = F.when(~is_usual & (plain != ""), plain)
+    return F.when(is_usual, usual).otherwise(_convert(odd, shape_mask(odd), zone))
 
 
 def found_instants(rows: DataFrame, fields: list[str], id_column: str, tab: str, banks: DataFrame) -> DataFrame:
@@ -241,7 +267,7 @@ def found_instants(rows: DataFrame, fields: list[str], id_column: str, tab: str,
     pairs = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("value")) for f in fields])
     long = rows.select(F.col(id_column).alias("id"), F.col("bank").alias("_bank"), F.explode(pairs).alias("_p"))
     long = long.select("id", "_bank", F.col("_p.field").alias("field"), plain_digits(F.col("_p.value")).alias("_plain"), F.col("_p.value").alias("_raw"))
-    odd = long.where((F.col("_plain") != "") & ~F.col("_raw").rlike(USUAL) & (F.char_length("_raw") <= 80))
+    odd = long.where((F.col("_plain") != "") & ~F.col("_raw").rlike(USUAL))
     zones = banks.select(F.col("bank").alias("_b"), F.col("tz").alias("_tz")).dropDuplicates(["_b"])
     zoned = odd.join(zones, F.col("_bank") == F.col("_b"), "left")
     return zoned.select(

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from skeinlake.functions.text import LANGUAGE_CLASSES, channel_facets, has_gapless, is_harness_turn, noise_rule, squeeze
+from skeinlake.functions.text import LANGUAGE_CLASSES, channel_facets, has_gapless, noise_rule, squeeze
 from skeinlake.operators.sessions import nonempty
 from skeinlake.session import materialize
 
@@ -41,12 +41,14 @@ def backfill_plan(events: DataFrame) -> DataFrame:
     return turns.where(differs).select("row_no", *[F.col(f"_f.{n}").alias(n) for n in FACETS])
 
 
-def dig(events: DataFrame, keys: list[str], at: str) -> DataFrame:
-    """Per file: human turns that say something, answers, calls, the first prompt, first and last instant."""
-    human = (F.col("role") == "user") & (F.char_length(F.trim("text")) > 5) & ~F.col("text").startswith("[Request interrupted") & ~is_harness_turn(F.col("text"))
+def dig(events: DataFrame, keys: list[str], at: str, tie: str) -> DataFrame:
+    """Per file: human turns that say something, answers, calls, the first prompt, first
+    and last instant.  A turn that the harness wrote counts as human: the rule looks at
+    role, length and the mark of an interruption only.  `tie` orders turns of one seq."""
+    human = F.coalesce((F.col("role") == "user") & (F.char_length(F.trim("text")) > 5) & ~F.col("text").startswith("[Request interrupted"), F.lit(False))
     return events.groupBy(*keys).agg(
         F.count_if(human).alias("human"), F.count_if(F.col("role") == "assistant").alias("answers"), F.count_if(F.col("role") == "tool_use").alias("calls"),
-        F.min_by(F.when(human, F.col("text")), F.when(human, F.col("seq"))).alias("first_prompt"), F.min(nonempty(at)).alias("first_at"), F.max(nonempty(at)).alias("last_at"))
+        F.min_by("text", F.when(human & F.col("seq").isNotNull(), F.struct("seq", tie))).alias("first_prompt"), F.min(nonempty(at)).alias("first_at"), F.max(nonempty(at)).alias("last_at"))
 
 
 def collapse_marks(marks: DataFrame, keys: list[str], at_ms: str, least_ms: int = 5_000) -> DataFrame:

@@ -747,10 +747,11 @@ def backfill_plan(spark: SparkSession, d: str) -> DataFrame:
     return Q.backfill_plan(table(spark, d, "event_rows"))
 
 
-@query("""SELECT file_path, count_if(role='user' AND length(trim(text, ' '))>5 AND NOT starts_with(text,'[Request interrupted') AND NOT regexp_matches(text,'^\\s*(Continue from where you left off)\\.?\\s*$'))::BIGINT AS human,
- count_if(role='assistant')::BIGINT AS answers, count_if(role='tool_use')::BIGINT AS calls, min(nullif(ts,'')) AS first_at, max(nullif(ts,'')) AS last_at FROM event_rows WHERE text IS NOT NULL AND file_path IS NOT NULL GROUP BY file_path""")
+@query("""WITH h AS (SELECT *, coalesce(role='user' AND length(trim(text, ' '))>5 AND NOT starts_with(text,'[Request interrupted'), false) AS human FROM event_rows)
+SELECT file_path, count_if(human)::BIGINT AS human, count_if(role='assistant')::BIGINT AS answers, count_if(role='tool_use')::BIGINT AS calls, arg_min(CASE WHEN human THEN text END, CASE WHEN human THEN struct_pack(a := seq, b := row_no) END) FILTER (WHERE human AND seq IS NOT NULL) AS first_prompt,
+ min(nullif(ts,'')) AS first_at, max(nullif(ts,'')) AS last_at FROM h GROUP BY file_path""")
 def dig_files(spark: SparkSession, d: str) -> DataFrame:
-    return Q.dig(table(spark, d, "event_rows").where("text IS NOT NULL AND file_path IS NOT NULL"), ["file_path"], "ts").drop("first_prompt")
+    return Q.dig(table(spark, d, "event_rows"), ["file_path"], "ts", "row_no")
 
 
 @query("""WITH RECURSIVE s AS (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events WHERE event_type='click'),

@@ -15,6 +15,14 @@ def us(*parts, micro=0):
 CASES = [
     ("2026-03-01T10:20:30.5Z", None, us(2026, 3, 1, 10, 20, 30, micro=500_000)),
     ("2026-03-01T10:20:30.123456789Z", None, us(2026, 3, 1, 10, 20, 30, micro=123_456)),
+    ("2026-03-01T10:20:30.1234567890123Z", None, us(2026, 3, 1, 10, 20, 30, micro=123_456)),
+    ("2026-03-01T10:20:30." + "12" * 200 + "Z", None, us(2026, 3, 1, 10, 20, 30, micro=121_212)),
+    (" " * 100 + "2026-03-01T10:20:30.5Z" + "\n" * 100, None, us(2026, 3, 1, 10, 20, 30, micro=500_000)),
+    ("1960-07-01 10:00:00", "Europe/London", us(1960, 7, 1, 9)),
+    ("1890-07-01 10:00:00", "UTC", us(1890, 7, 1, 10)),
+    ("2250-07-01 10:00:00", "Europe/Berlin", us(2250, 7, 1, 8)),
+    ("2399-01-01 10:00:00", "America/New_York", us(2399, 1, 1, 15)),
+    ("9999-07-01 10:00:00", "Europe/Berlin", us(9456, 7, 1, 8)),
     (" 2026-03-01t10:20:30.123z ", None, us(2026, 3, 1, 10, 20, 30, micro=123_000)),
     ("2026-03-01T10:20Z", None, us(2026, 3, 1, 10, 20)),
     ("2026-03-01T10:20:30+0700", "UTC", us(2026, 3, 1, 3, 20, 30)),
