@@ -1,4 +1,5 @@
 import pytest
+from hypothesis import given, strategies as st
 
 from skeinlake.llm import personal as P
 
@@ -74,3 +75,51 @@ def test_redaction_and_edges(spark):
     assert out[0] == ("mail [EMAIL] or call [PHONE], [EMAIL]", "[EMAIL]") and out[1] == (None, None) and out[3] == ("nothing", "x") and len(out) == 5
     assert out[4][0].endswith("z [PHONE]")
     assert P.extract(df.limit(0), users).count() == 0 and P.extract(df, users.limit(0)).count() == 5
+
+
+def test_blanks_contexts_and_labels():
+    assert sure("call +1 555    123 4567.") == {("phone", "+1 555    123 4567")}
+    assert sure("Passport number: ab1234567") == {("id_number", "ab1234567")} and sure("build ab1234567") == set()
+    long = "w" * 5000
+    assert P.patterns(f"{long} Anna B {long}", 5001, 5007) == (f"^ {long} _", f"_ {long} $", f"{long} _ {long}")
+    assert "นภา  ใจดี" in {t[a:b] for t in ["คุณนภา  ใจดี มา"] for k, _, _, a, b, *_ in P.instances(t, FIRSTS, LASTS) if k == "name"}
+
+
+def test_names_of_many_parts_leave_nothing(spark):
+    known = ["Noor Okandu", "Ansel O\u2019Kellanby", "De\u0301sire\u0301e Okandu", "Zoë Ångsdal", "Maria Veldt"]
+    users = spark.createDataFrame([(n,) for n in known], "display_name string")
+    rows = [(f"Met with {n} today.", n) for n in known * 4]
+    rows += [("Met with Odalys Noor Maria Okandu today.", ""), ("Met with Noor Okandu Ansel O'Kellanby today.", ""), ("met with désirée   okandu today", ""), ("Met with Desmond Noor Okandu-Veldt today.", "")]
+    df = frame(spark, rows)
+    found = P.extract(df, users)
+    out = [r["text"] for r in P.redact(df, found).orderBy("row_no").collect()]
+    assert out[20] == "Met with Odalys [NAME] today." or out[20] == "Met with [NAME] today."
+    assert out[21] == "Met with [NAME] [NAME] today." and out[22] == "met with [NAME] today"
+    assert "Noor" not in out[20] and "Maria" not in out[20] and all(t == "Met with [NAME] today." for t in out[:20])
+
+
+def test_a_name_grows_over_known_parts():
+    span = lambda a, b, v, good=False, f=False, last=False: dict(start=a, stop=b, value=v, good=good, first_known=f, last_known=last)
+    chain = [span(0, 10, "Anna Maria", f=True), span(5, 16, "Maria Luisa", f=True), span(11, 22, "Luisa Smith", good=True), span(17, 28, "Smith Jones", last=True)]
+    assert P.whole_names(chain) == [(0, 28, "Anna Maria Luisa Smith Jones")]
+    two = [span(0, 10, "Anna Smith", good=True), span(5, 14, "Smith Ann", f=True, last=True), span(11, 20, "Ann Jones", good=True)]
+    assert P.whole_names(two) == [(0, 10, "Anna Smith"), (11, 20, "Ann Jones")]
+
+
+@given(st.text(alphabet="ab \n", max_size=40), st.lists(st.tuples(st.integers(0, 40), st.integers(1, 12), st.sampled_from(["name", "email"])), max_size=8))
+def test_redaction_leaves_nothing_of_a_find_and_all_else(text, drawn):
+    spans = [dict(start=a, stop=min(len(text), a + n), kind=k) for a, n, k in drawn if a < len(text)]
+    out = P.masked_text(text, spans)
+    hidden = {i for s in spans for i in range(s["start"], s["stop"])}
+    rest = "".join(c for i, c in enumerate(text) if i not in hidden)
+    assert out.replace("[NAME]", "").replace("[EMAIL]", "") == rest
+    covered = P.covered(spans)
+    assert all(x[1] <= y[0] for x, y in zip(covered, covered[1:])) and sum(b - a for a, b, _ in covered) == len(hidden)
+
+
+def test_bloom_filter_has_every_name(spark):
+    parts = [f"f:n{i}" for i in range(3000)] + [f"l:n{i}" for i in range(3000)]
+    bits = P.bloom_of(spark.createDataFrame([(p,) for p in parts], "part string"))
+    first, last = P.BloomSet(bits, "f:"), P.BloomSet(bits, "l:")
+    assert all(f"n{i}" in first and f"n{i}" in last for i in range(3000))
+    assert sum(f"x{i}" in first for i in range(3000)) < 60 and P.BloomSet(P.bloom_of(spark.createDataFrame([], "part string")), "f:").isdisjoint(["a", "b"])
