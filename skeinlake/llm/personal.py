@@ -140,7 +140,7 @@ class BloomSet:
     them, and few words that are none.  Remembers what it was asked."""
 
     def __init__(self, bits: np.ndarray, side: str) -> None:
-        self.bits, self.side, self.asked = bits, side, {}
+        self.bits, self.side, self.asked, self.absent = bits, side, {}, set()
 
     @staticmethod
     def places(part: str, n_bits: int) -> list[int]:
@@ -156,8 +156,12 @@ class BloomSet:
             self.asked[word] = found = all(int(self.bits[p >> 6]) >> (p & 63) & 1 for p in places)
         return found
 
-    def isdisjoint(self, words: Iterable[str]) -> bool:
-        return not any(w in self for w in words)
+    def isdisjoint(self, words: set[str]) -> bool:
+        new = words - self.absent
+        if len(self.absent) > 1_000_000:
+            self.absent.clear()
+        self.absent.update(w for w in new if w not in self)
+        return new <= self.absent
 
 
 def bloom_of(known: DataFrame) -> np.ndarray:

@@ -122,4 +122,4 @@ def test_bloom_filter_has_every_name(spark):
     bits = P.bloom_of(spark.createDataFrame([(p,) for p in parts], "part string"))
     first, last = P.BloomSet(bits, "f:"), P.BloomSet(bits, "l:")
     assert all(f"n{i}" in first and f"n{i}" in last for i in range(3000))
-    assert sum(f"x{i}" in first for i in range(3000)) < 60 and P.BloomSet(P.bloom_of(spark.createDataFrame([], "part string")), "f:").isdisjoint(["a", "b"])
+    assert sum(f"x{i}" in first for i in range(3000)) < 60 and P.BloomSet(P.bloom_of(spark.createDataFrame([], "part string")), "f:").isdisjoint({"a", "b"})
