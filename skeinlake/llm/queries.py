@@ -34,7 +34,7 @@ def p3_segments(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
-    return conversations.found_broken(spread(table(spark, d, "event_rows").select("row_no", "session_uuid", "tier", "role", "seq", "text")))
+    return conversations.found_broken(table(spark, d, "event_rows"), table(spark, d, "banks"))
 
 
 def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
@@ -42,7 +42,7 @@ def p6_conversations(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
-    return canonical.copies_of(spread(table(spark, d, "event_rows").select("row_no", "text", "session_uuid")), "row_no", "text", ["session_uuid"])
+    return canonical.copies_of(table(spark, d, "event_rows"), "row_no", "text", ["session_uuid"])
 
 
 def p7_counts(spark: SparkSession, d: str) -> DataFrame:

@@ -77,3 +77,23 @@ def test_rebuild_splits_at_silence_across_blocks(spark, monkeypatch):
 def test_one_session_with_most_rows(spark):
     turns = [("hot", "user" if i % 2 == 0 else "assistant", i, f"turn {i}", None) for i in range(6000)] + [("b", "user", 1, "x", None)]
     assert {tuple(r) for r in V.found_broken(rows(spark, *turns)).collect()} == {("b", "no_reply")}
+
+
+def test_unknown_spellings_are_learnt_from_their_place(spark):
+    turns = []
+    for i in range(30):
+        turns += [("s%d" % (i % 3), role, 4 * (i // 3) + k, f"turn {i} {k}", None) for k, role in enumerate(["Visitor", "assistant", "Visitor", "Replier"])]
+    turns += [("t", "user", 1, "a", None), ("t", "tracer", 2, "x", None), ("t", "tracer", 3, "y", None), ("t", "assistant", 4, "b", None)]
+    df = rows(spark, *turns)
+    assert {(r["plain"], r["side"]) for r in V.inferred_sides(df).collect()} == {("visitor", V.USER)}
+    # what stands beside spellings that are unknown themselves stays unknown
+    assert {tuple(r) for r in V.found_broken(df).collect()} == {("s0", "no_reply"), ("s1", "no_reply"), ("s2", "no_reply")}
+
+
+def test_parts_and_extra_columns(spark):
+    banks = spark.createDataFrame([("b", "UTC", 1), ("b", "UTC", 2)], "bank string, tz string, row_no int")
+    df = rows(spark, ("s", "user", 1, "a", "2026-01-01T00:00:00.000Z"), ("s", "agent", 2, "b", "words"), ("s", "user", 3, "c", "2026-03-01 10:00:00"), ("s", "agent", 4, "c!", None), ("s", "agent", 5, "d", None))
+    got = V.rebuild(df, banks).orderBy("seq").collect()
+    assert [(r["seq"], r["role"], r["text"]) for r in got] == [(1, "user", "a"), (2, "assistant", "b"), (3, "user", "c"), (5, "assistant", "d")]
+    assert got[2]["at_us"] == 1772359200000000 and got[1]["at_us"] is None
+    assert V.found_broken(df, banks).count() == 0 and V.found_broken(df.limit(0), banks).count() == 0
