@@ -84,3 +84,33 @@ def test_window_hashes_depend_on_content_only():
     assert (S.window_hashes(a, 100)[17:] == S.window_hashes(b, 100)[: 300 - 99]).all()
     ha, hb = (set(S.anchors(x, 250, 100)[1].tolist()) for x in (a, b))
     assert ha & hb
+
+
+def test_few_anchors_in_a_run_and_one_in_each_window():
+    rng = random.Random(3)
+    for k in range(40):
+        t = "".join(rng.choice("ab") if k % 2 else "a" for _ in range(rng.randrange(60, 400)))
+        codes = S._codes(t[: len(t) // 2] + "xyz" * (k % 5) + t[len(t) // 2 :])
+        places, _ = S.anchors(codes, 30, 12)
+        hashes = S.window_hashes(codes, 12)
+        for i in range(len(hashes) - 18):
+            assert any(i <= p < i + 19 and hashes[p] == hashes[i : i + 19].min() for p in places)
+    blanks, text = S._codes(" " * 200_000), S._codes("".join(rng.choice("abcdefgh ") for _ in range(200_000)))
+    assert len(S.anchors(blanks, 250, 100)[0]) <= len(S.anchors(text, 250, 100)[0])
+
+
+def test_index_is_small_and_finds_its_texts():
+    rng = random.Random(9)
+    texts = [S._codes("".join(rng.choice("abcdefghijklm nopq") for _ in range(400))) for _ in range(200)]
+    index = S.FmIndex(texts, 250)
+    assert index.bytes < 5 * index.n
+    order, _ = S.suffix_array(np.concatenate([np.concatenate([t + 1000, [i]]) for i, t in enumerate(texts)]), 250)
+    assert (index.owners(np.arange(index.n)) == np.minimum(order // 401, 199)).all()
+
+
+def test_boilerplate_blanks_and_surrogates(spark):
+    rng = random.Random(4)
+    word = lambda n: "".join(rng.choice("abcdefgh é") for _ in range(n))
+    common, blanks = word(260), " " * 3000
+    docs = [(i, word(rng.randrange(50, 200)) + common + word(rng.randrange(50, 200))) for i in range(25)] + [(50, blanks), (51, "x" + blanks), (52, word(300))]
+    assert found(spark, docs) == brute(docs, 250)
