@@ -22,7 +22,9 @@ def canonical_text(text: Column) -> Column:
     """Letters, marks and digits of the text in one case; null for null."""
     lower = F.lower(text)
     head = r"(?s)^([^\{]*)(\{.*\})([^\}]*)$"
-    fields = F.to_json(F.try_parse_json(F.regexp_replace(F.regexp_extract(lower, head, 2), r"\p{Cntrl}+", " ")))
+    parsed = lambda t: F.to_json(F.try_parse_json(F.regexp_replace(F.regexp_extract(t, head, 2), r"\p{Cntrl}+", " ")))
+    # fields that differ in case only clash in lower case; then they are sorted as written
+    fields = F.coalesce(parsed(lower), F.lower(parsed(text)))
     sorted_call = F.concat(F.regexp_extract(lower, head, 1), fields, F.regexp_extract(lower, head, 3))
     called = F.when(text.rlike(r"(?i)^\W*tool.?use\b[^\{]*\{"), sorted_call)
     # the optimizer makes lower(upper(x)) lower(x), so the marks go in between

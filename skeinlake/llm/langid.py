@@ -52,7 +52,7 @@ HAN_JA = -0.7
 _BLANK = regex.compile(
     r"""(?P<front>\A\s*---[ \t]*\r?\n(?:.*\r?\n)*?---[ \t]*(?=\r?\n|\Z))
     |(?P<fence>```(?:.*\n?)*?(?:```|\Z))
-    |(?P<tag></?[A-Za-z][^<>\n]{0,400}>|<\|[^|\n]{0,40}\|>)""",
+    |(?P<tag></?[A-Za-z][^<>\n]*+>|<\|[^|\n]*+\|>)""",
     regex.X,
 )
 _LINE_BLANK = regex.compile(
@@ -67,7 +67,7 @@ _LINE_BLANK = regex.compile(
     )""",
     regex.X | regex.M,
 )
-_LABEL = regex.compile(r"^[ \t>*\-]*(?:\[\d{1,2}:\d\d(?::\d\d)?\][ \t]*(?:[\w.\-]{1,60}:)?|\[[\w ]{1,30}\]|(?:user|assistant|human|agent|model|system|tool|bot)[ \t]*:)", regex.M | regex.I)
+_LABEL = regex.compile(r"^[ \t>*\-]*(?:\[\d{1,2}:\d\d(?::\d\d)?\][ \t]*(?:[\w.\-]+:)?|\[[\w ]+\]|(?:user|assistant|human|agent|model|system|tool|bot)[ \t]*:)", regex.M | regex.I)
 _INVISIBLE = regex.compile(r"[​-‏⁠﻿]")
 #: ASCII runs with digits, or marks that words don't have: ids, paths, addresses.
 _ID = regex.compile(r"[!-~]*[0-9_/@\\=][!-~]*")
@@ -109,10 +109,11 @@ def _family(script: str) -> str:
 
 def units_of(text: str) -> list[Unit]:
     """The sentences of a text with their words, in reading order."""
-    plain = plain_text(text)
+    plain, places = plain_text(text), None
     if _INVISIBLE.search(plain):
-        # joined for the ids, at the cost of offsets that are a few characters off
-        plain = _INVISIBLE.sub("", plain)
+        # joined for the ids; places says where each character was
+        kept = [(c, i) for i, c in enumerate(plain) if not _INVISIBLE.match(c)]
+        plain, places = "".join(c for c, _ in kept), [i for _, i in kept]
     plain = _ID.sub(lambda m: " " * (len(m[0]) - 1) + (m[0][-1] if m[0][-1] in ".!?" else " "), plain)
     units = []
     for sentence in _SENTENCE.finditer(plain):
@@ -133,11 +134,17 @@ def units_of(text: str) -> list[Unit]:
                 units.append(unit)
             unit.words.append((script, word))
             unit.stop = end
+    if places is not None:
+        for unit in units:
+            unit.start, unit.stop = places[unit.start], places[unit.stop - 1] + 1
     return units
 
 
 class Model:
-    """Scores of words: for each a row with a number a language, 0 for the best."""
+    """Scores of words: for each a row with a number a language, 0 for the best.
+    `temperature` divides scores before they are made probabilities, see calibrate."""
+
+    temperature = 1.0
 
     def __init__(self, words: dict[str, dict[str, Counter]]) -> None:
         self.words, self.grams, self.rows = {}, {}, {}
@@ -201,7 +208,9 @@ def is_sentence(unit: Unit, scores: np.ndarray) -> bool:
 
 
 def viterbi(scores: np.ndarray, penalties: list[float]) -> list[int]:
-    """The best language of each unit; penalties[i] is that of switching before unit i."""
+    """The best language of each row of scores (a word, or a sentence whose words' scores
+    are summed); penalties[i] is that of switching before row i.  Where a switch is ruled
+    out, as inside a sentence, words may be summed first: the best path is the same."""
     best = scores[0].copy()
     back = []
     for row, penalty in zip(scores[1:], penalties[1:]):
@@ -234,7 +243,7 @@ def segments(text: str | None, model: Model) -> list[tuple[str, float, int, int]
     for i in range(1, len(path) + 1):
         if i == len(path) or path[i] != path[begin]:
             total = scores[begin:i].sum(axis=0)
-            others = np.exp(np.clip(np.delete(total, path[begin]) - total[path[begin]], -50, 50)).sum()
+            others = np.exp(np.clip((np.delete(total, path[begin]) - total[path[begin]]) / model.temperature, -50, 50)).sum()
             out.append((LANGUAGES[path[begin]], float(1 / (1 + others)), units[begin].start, units[i - 1].stop))
             begin = i
     return out
@@ -255,9 +264,35 @@ def fit(samples: list[tuple[str, str]]) -> Model:
     model = count((u, language) for units, language in read for u in units)
     for _ in range(REFITS):
         model = count((u, LANGUAGES[int(s.argmax())]) for units, _ in read if units for u, s in zip(units, model.scores(units)) if is_sentence(u, s))
+    model.temperature = calibrate(model, [units for units, _ in read])
     return model
 
 
+def calibrate(model: Model, texts: list[list[Unit]]) -> float:
+    """The temperature at which the confidence in a single sentence is most like how
+    often it is of the language of all other sentences of its text, by log loss."""
+    leads, right = [], []
+    for units in texts:
+        if len(units) < 3:
+            continue
+        scores = model.scores(units)
+        for i, unit in enumerate(units):
+            if is_sentence(unit, scores[i]):
+                rest = scores.sum(axis=0) - scores[i]
+                at = int(scores[i].argmax())
+                leads.append(np.delete(scores[i], at) - scores[i][at])
+                right.append(int(rest.argmax()) == at)
+    if not leads:
+        return 1.0
+    apart, hit = np.array(leads), np.array(right)
+
+    def loss(temperature: float) -> float:
+        sure = np.clip(1 / (1 + np.exp(np.clip(apart / temperature, -50, 50)).sum(axis=1)), 1e-6, 1 - 1e-6)
+        return float(-np.where(hit, np.log(sure), np.log1p(-sure)).mean())
+
+    return min((0.5 * 1.25**k for k in range(24)), key=loss)
+
+
 def fit_sample(tables: list[DataFrame]) -> Model:
     """The model of a bounded sample: of each table (id, text, label) the
     SAMPLE_ROWS rows with a label that names a language whose ids hash least."""
@@ -281,11 +316,11 @@ def label_segments(df: DataFrame, model: Model) -> DataFrame:
     rows are labelled each, texts of any length whole.  The model is bounded by its
     sample and broadcast.
     """
-    shared = df.sparkSession.sparkContext.broadcast((model.words, model.grams))
+    shared = df.sparkSession.sparkContext.broadcast((model.words, model.grams, model.temperature))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = Model({})
-        own.words, own.grams = shared.value
+        own.words, own.grams, own.temperature = shared.value
         for frame in frames:
             out = []
             for tab, id_, label, text in zip(frame["tab"], frame["id"], frame["label"], frame["text"]):

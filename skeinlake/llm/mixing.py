@@ -7,9 +7,9 @@ with the calibrated weights as expected numbers of copies, systematically within
 blocks ordered by language, topic and size, so that tokens, not just documents,
 meet the targets.
 
-The cells of the raking are source x language x topic; sources come from the
-targets, languages from a fixed list, topics are the largest TOPICS and one for
-the rest, so the cells are bounded whatever the corpus and are raked on the driver.
+The cells of the raking are source x language x topic, one row each: sources come from
+the targets, languages from a fixed list, topics are all there are.  The cells, not the
+documents, are raked on the driver; ``mix_margins`` says how near each margin came.
 """
 
 from __future__ import annotations
@@ -20,8 +20,6 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from skeinlake.llm.labels import language_of
 from skeinlake.session import materialize
 
-#: Topics with a margin of their own; all others share one.
-TOPICS = 32
 #: Rounds of raking; it stops earlier when all margins are met to TOLERANCE.
 ROUNDS, TOLERANCE = 200, 1e-6
 #: Documents in a block of the systematic draw, about, and draws that are compared.
@@ -85,8 +83,7 @@ def calibrated_copies(docs: DataFrame, targets: DataFrame, total_tokens: float |
     spark = docs.sparkSession
     wanted = [(r["_s"], r["share"], r["cap"]) for r in targets.groupBy(source_of(F.col("source")).alias("_s")).agg(F.sum("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect() if r["_s"]]
     known = docs.where(F.col("source").isin([s for s, _, _ in wanted]) & (F.col("n_tokens") > 0))
-    largest = [r["topic"] for r in known.groupBy("topic").agg(F.sum("n_tokens").alias("n")).orderBy(F.desc("n"), "topic").limit(TOPICS).collect()]
-    topic = F.when(F.col("topic").isin([t for t in largest if t is not None]), F.col("topic")).otherwise(F.lit(""))
+    topic = F.coalesce("topic", F.lit(""))
     celled = known.withColumns({"topic": topic, "lang": F.coalesce("lang", F.lit(""))})
     cells = celled.groupBy("source", "lang", "topic").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).toPandas()
     names = [s for s, _, _ in wanted]
@@ -103,7 +100,7 @@ def calibrated_copies(docs: DataFrame, targets: DataFrame, total_tokens: float |
     cells["weight"] = rake(tokens, source, others, due, caps) if len(cells) else []
     blocks = max(1, int(-(-cells["docs"].sum() // BLOCK_DOCS)))
     weights = spark.createDataFrame(cells[["source", "lang", "topic", "weight"]], "source string, lang string, topic string, weight double")
-    joined = celled.join(F.broadcast(weights), ["source", "lang", "topic"])  # bounded: see above
+    joined = celled.join(weights, ["source", "lang", "topic"])  # broadcast by Spark where the cells are few
     joined = joined.withColumn("_block", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(blocks)))
     order = W.partitionBy("source", "_block").orderBy("lang", "topic", "n_tokens", "doc_id").rowsBetween(W.unboundedPreceding, 0)
     start = F.pmod(F.xxhash64(F.lit(seed), "source", "_block"), F.lit(1_000_003)) / 1_000_003
@@ -152,3 +149,22 @@ def mix_report(docs: DataFrame, targets: DataFrame, total_tokens: float | None =
         zero("n_copies").alias("n_copies"), zero("mixed_tokens").alias("mixed_tokens"), zero("most_copies").alias("most_copies"),
         F.round(zero(F.col("mixed_tokens") / total), 6).alias("actual_share"),
     )
+
+
+def mix_margins(docs: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = 0) -> DataFrame:
+    """How near the drawn mix comes to each margin: margin (source, lang, topic), value,
+    due_share (a source's target; of a language or topic the share of the target sources'
+    tokens it has) and reached_share.  Caps, and sources that are short of documents, keep
+    margins from being met; a source without documents reaches 0."""
+    drawn = materialize(calibrated_copies(materialize(docs, "sized"), targets, total_tokens, seed), "drawn")
+    margin = lambda c: F.struct(F.lit(c).alias("margin"), F.col(c).alias("value"))
+    each = drawn.select(F.explode(F.array(*[margin(c) for c in ("source", "lang", "topic")])).alias("m"), "n_tokens", (F.col("copies") * F.col("n_tokens")).alias("taken"))
+    sums = each.groupBy("m.margin", "m.value").agg(F.sum("n_tokens").alias("have"), F.sum("taken").alias("taken"))
+    totals = drawn.agg(F.sum("n_tokens").alias("all_have"), F.sum(F.col("copies") * F.col("n_tokens")).alias("all_taken"))  # one row
+    asked = targets.groupBy(source_of(F.col("source")).alias("_s")).agg(F.sum("target_share").alias("_share")).where("_s IS NOT NULL")
+    both = sums.join(asked.withColumn("_m", F.lit("source")), (F.col("margin") == F.col("_m")) & (F.col("value") == F.col("_s")), "full").crossJoin(totals)
+    zero = lambda c: F.coalesce(c, F.lit(0.0))
+    due = F.coalesce("_share", F.try_divide(F.col("have"), F.col("all_have")))
+    return both.select(
+        F.coalesce("margin", "_m").alias("margin"), F.coalesce("value", "_s").alias("value"),
+        F.round(due, 6).alias("due_share"), F.round(zero(F.try_divide(F.col("taken"), F.col("all_taken"))), 6).alias("reached_share"))

@@ -22,7 +22,9 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     documents, rows = langid.inputs(*(table(spark, d, t) for t in ("documents", "event_rows", "lang_labels")))
-    return langid.label_segments(spread(documents).unionByName(rows), langid.fit_sample([documents, rows]))
+    # joined and dealt out once, then counted, sampled and labelled from there
+    texts = materialize(spread(documents.unionByName(rows)), "texts")
+    return langid.label_segments(texts, langid.fit_sample([texts.where(F.col("tab") == t) for t in ("documents", "event_rows")]))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
@@ -66,6 +68,10 @@ def p9_sample(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(materialize(_sized(spark, d), "sized"), table(spark, d, "mix_targets"))
 
 
+def p9_margins(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix_margins(_sized(spark, d), table(spark, d, "mix_targets"))
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return spans.shared_pairs(table(spark, d, "documents"), "doc_id", "text")
 
@@ -76,7 +82,7 @@ def p10_shared(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (p2_found, p2_redacted, p3_found, p3_segments, p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix, p10_found, p10_shared)
+    for f in (p2_found, p2_redacted, p3_found, p3_segments, p6_found, p6_conversations, p7_found, p7_counts, p8_ids, p9_sample, p9_mix, p9_margins, p10_found, p10_shared)
 }
 
 #: The canonical form in SQL: fields of a tool call sorted at two depths, as deep as they go here.

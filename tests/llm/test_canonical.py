@@ -42,3 +42,9 @@ def test_hot_group_long_text_clashing_columns_and_empty(spark):
     got = C.copies_of(df, "row_no", "text", ["session_uuid"]).collect()
     assert len(got) == 1999 + 1 and {r[0] for r in got} == {1, 9001}
     assert C.copies_of(df.limit(0), "row_no", "text", ["session_uuid"]).count() == 0
+
+
+def test_fields_that_differ_in_case_only(spark):
+    texts = ['[tool_use X] {"A":1,"a":2,"b":3}', '[tool_use X] {"b":3,"a":2,"A":1}', '[tool_use X] {"B":1,"a":2}', '[tool_use x] {"A":2,"b":1}']
+    df = spark.createDataFrame([(i, t, "s") for i, t in enumerate(texts)], "row_no long, text string, s string")
+    assert {tuple(r) for r in C.copies_of(df, "row_no", "text", ["s"]).collect()} == {(0, 1), (2, 3)}

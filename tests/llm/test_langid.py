@@ -1,3 +1,6 @@
+import math
+
+import numpy as np
 import pytest
 
 from skeinlake.llm import langid as L
@@ -66,3 +69,27 @@ def test_cases_and_edges(spark, model):
     assert L.label_segments(df.limit(0), model).count() == 0
     empty = L.fit_sample([df.limit(0)])
     assert langs(y, empty) == ["th"] and langs(x, empty) == []
+
+
+def test_offsets_with_invisible_characters(model):
+    text = "\u200b".join(SENTENCES["en"]) + " \u200b" + SENTENCES["de"]
+    (a, b) = L.segments(text, model)
+    assert (a[0], b[0]) == ("en", "de")
+    assert text[a[2] : a[3]].replace("\u200b", "") == SENTENCES["en"][:-1] and text[b[2] : b[3]] == SENTENCES["de"][:-1]
+
+
+def test_search_over_sentences_is_that_over_words(model):
+    texts = [" ".join([SENTENCES[a], SENTENCES[b], SENTENCES[a][:20], SENTENCES[c]]) for a in SENTENCES for b, c in (("en", "fr"), ("ja", "uk"))]
+    for text in texts:
+        units = L.units_of(text)
+        penalties = [L.SWITCH if u.first else L.SWITCH_WITHIN for u in units]
+        by_sentence = L.viterbi(model.scores(units), penalties)
+        words = [(model.row(*w), p if i == 0 else math.inf) for u, p in zip(units, penalties) for i, w in enumerate(u.words)]
+        by_word = L.viterbi(np.array([r for r, _ in words]), [p for _, p in words])
+        assert by_word == [s for u, s in zip(units, by_sentence) for _ in u.words]
+
+
+def test_confidence_is_calibrated_and_lower_where_little_is_said(model):
+    assert 0.5 <= model.temperature < 50
+    long, short = L.segments(" ".join([SENTENCES["es"]] * 3), model)[0][1], L.segments("la nota no.", model)
+    assert long > 0.9 and all(c <= long for _, c, *_ in short)
