@@ -103,7 +103,8 @@ def is_host_preamble(text: Column) -> Column:
 
 def strip_envelope(text: Column) -> Column:
     """The text without up to eight leading tags (their content stays) and without channel tags."""
-    opening = r"^\s*<([a-zA-Z][\w-]*)\b[^>]*(?:>|$)"
+    # the end of a word in ASCII letters, whatever letters follow
+    opening = r"^\s*<([a-zA-Z][\w-]*)(?<=\w)(?!\w)[^>]*(?:>|$)"
 
     def peel(acc: Column, _: Column) -> Column:
         tag, whole = F.regexp_extract(acc, opening, 1), F.regexp_extract(acc, opening, 0)

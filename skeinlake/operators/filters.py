@@ -49,16 +49,16 @@ class Scope:
     def predicate(self) -> Column:
         c, parts = F.col, [F.lit(True)]
         parts += [c("bank") == self.bank] * (self.bank is not None)
-        parts += [c("repo_key").contains(self.repo)] * (self.repo is not None)
+        within = {"repo_key": self.repo, "worktree": self.worktree, "cwd": self.path}
+        parts += [c(k).contains(v) for k, v in within.items() if v is not None]
         if self.tier is not None:
             parts.append(c("tier") == self.tier)
         elif not self.all_tiers:
             parts.append(main_tiers())
         parts += [c(k) == getattr(self, k) for k in ("source", "org", "project", "mem_type", "role") if getattr(self, k) is not None]
         parts += [c("role").isin(list(self.roles))] * bool(self.roles)
-        parts += [c("worktree").contains(self.worktree)] * (self.worktree is not None)
-        parts += [c("cwd").contains(self.path)] * (self.path is not None)
-        parts += [c("dir").startswith(self.dir)] * (self.dir is not None)
+        if self.dir is not None:
+            parts.append(c("dir").startswith(self.dir))
         parts += [c("role").isin("user", "assistant")] * self.prose
         if self.since is not None:
             parts.append(c("ts") >= to_iso(self.since))

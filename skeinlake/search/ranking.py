@@ -34,8 +34,9 @@ def postings(docs: DataFrame, id_column: str, text: str, scope: list[str], words
 
 def build_index(docs: DataFrame, id_column: str, text: str, scope: list[str] = []) -> dict[str, DataFrame]:  # noqa: B006
     """The tables of an index: postings, document frequencies, corpus statistics by
-    scope.  Texts are broken once; the rest comes from the kept postings."""
-    posted = materialize(postings(docs, id_column, text, scope), "postings")
+    scope.  Texts are broken once; the rest comes from the kept postings, which lie
+    sorted by word, so that a filter on words skips the pages of all others."""
+    posted = materialize(postings(docs, id_column, text, scope).repartition("token").sortWithinPartitions("token"), "postings")
     number = docs.groupBy(*scope).agg(F.count(F.lit(1)).alias("n"), F.count(text).alias("_texts"))
     length = posted.groupBy(*scope).agg(F.sum("tf").alias("_words"))
     both = number.join(length, scope, "left") if scope else number.crossJoin(length)  # one row each

@@ -8,9 +8,9 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
-from skeinlake.plans import data_queries, reference_queries, source_queries
+from skeinlake.plans import data_queries, inventory_queries, reference_queries, source_queries
 
-MODULES = (data_queries, reference_queries, source_queries)
+MODULES = (data_queries, reference_queries, source_queries, inventory_queries)
 ALL = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}
 
