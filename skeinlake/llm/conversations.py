@@ -60,7 +60,8 @@ def inferred_sides(rows: DataFrame) -> DataFrame:
     told = rows.where(counts_as_text(F.col("text")) & F.col("seq").isNotNull()).select("session_uuid", "seq", "row_no", plain_role(F.col("role")).alias("plain"))
     told = told.where(F.col("plain").isNotNull() & ~F.col("plain").isin(NEITHER))
     unknown = ~F.col("plain").isin(HUMAN + AGENT) & (F.col("plain") != "")
-    concerned = told.where(unknown).select(F.col("session_uuid").alias("_s")).distinct()
+    # written first, so its size is known: mostly there is none, and nothing is shuffled to find that out
+    concerned = materialize(told.where(unknown).select(F.col("session_uuid").alias("_s")).distinct(), "unknown-roles")
     own = told.join(concerned, F.col("session_uuid") == F.col("_s"), "left_semi").withColumn("_side", _code(side_of(F.col("plain"))))
     block = W.partitionBy("session_uuid", F.floor(F.col("seq") / BLOCK)).orderBy("seq", "row_no")
     placed = own.select("plain", unknown.alias("_u"), F.lag("_side").over(block).alias("_b"), F.lead("_side").over(block).alias("_a")).where("_u")
@@ -76,7 +77,8 @@ def turns_of(rows: DataFrame, banks: DataFrame | None = None) -> DataFrame:
     smallest row_no.  A session keeps one more row of null side for its other rows.
     Without `banks` (or ts and bank) no instants are read."""
     main = rows.where((F.col("tier") == "session") & F.col("session_uuid").isNotNull())
-    learnt = inferred_sides(main).select(F.col("plain").alias("_p"), F.col("side").alias("_learnt"))
+    # a row a spelling, written, so that texts don't move to meet it
+    learnt = materialize(inferred_sides(main).select(F.col("plain").alias("_p"), F.col("side").alias("_learnt")), "learnt-roles")
     slim = main.select("session_uuid", "row_no", "seq", "role", "text", *(["ts", "bank"] if banks is not None else []))
     slim = slim.join(learnt, plain_role(F.col("role")) == F.col("_p"), "left")
     side = F.when(counts_as_text(F.col("text")), F.coalesce(_code(side_of(F.col("role"))), "_learnt"))
