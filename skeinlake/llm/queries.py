@@ -22,9 +22,9 @@ def p2_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 def _segments(spark: SparkSession, d: str) -> DataFrame:
     documents, rows = langid.inputs(*(table(spark, d, t) for t in ("documents", "event_rows", "lang_labels")))
-    # joined and dealt out once, then counted, sampled and labelled from there
-    texts = materialize(spread(documents.unionByName(rows)), "texts")
-    return langid.label_segments(texts, langid.fit_sample([texts.where(F.col("tab") == t) for t in ("documents", "event_rows")]))
+    # joined once, then counted, sampled and dealt out from there
+    texts = materialize(documents.unionByName(rows), "texts")
+    return langid.label_segments(spread(texts), langid.fit_sample([texts.where(F.col("tab") == t) for t in ("documents", "event_rows")]))
 
 
 def p3_found(spark: SparkSession, d: str) -> DataFrame:
